@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import hotspot_label
+from ..session import broadcast_if_small, durable
 from .ranking import ranked
 
+_GROUP_LIMIT = 900
+
 
 def require_standardised(values: DataFrame, z: str = "z") -> DataFrame:
     """Stop the job unless the values have mean 0 and population standard deviation 1."""
@@ -81,20 +84,23 @@ def local_moran_p(local: DataFrame, permutations: int = 999, seed: int = 2026092
     An area keeps its own value and draws k of the others for its k neighbours. Each replicate's order starts the same for all
     areas, so only its first k + 1 areas are needed: their running sums, with the area itself skipped, give each mean.
     """
-    base = local.select(F.col(code).alias("code"), F.col(z).alias("z"), F.col("neighbours").alias("k"), F.col("local_i"))
-    most = base.agg(F.max("k")).scalar()
-    key = shuffle_key(seed, F.col("rep"), F.col("code"))
+    base = durable(local.select(F.col(code).alias("code"), F.col(z).alias("z"), F.col("neighbours").alias("k"), F.col("local_i")))
+    most = base.agg(F.max("k")).first()[0] or 0
+    keyed = _replicates(base.select("code", "z"), permutations).withColumn("key", shuffle_key(seed, F.col("rep"), F.col("code")))
     order = Window.partitionBy("rep").orderBy("key", "code")
-    heads = (_replicates(base.select("code", "z"), permutations).withColumn("key", key)
-             .withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= most + 1))
+    if most < _GROUP_LIMIT:  # a literal limit below Spark's own threshold is applied in each partition before the shuffle
+        slotted = keyed.withColumn("slot", F.row_number().over(order))
+    else:
+        slotted = ranked(keyed, [F.col("key").asc(), F.col("code").asc()], by=["rep"], name="slot")
+    heads = durable(slotted.filter(F.col("slot") <= most + 1))
     sums = heads.withColumn("upto", F.sum("z").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("rep", "slot", "upto")
-    own = heads.select("rep", "code", "slot")
+    own = heads.select("rep", "code", F.col("slot").alias("own_slot"))
 
     tests = _replicates(base.filter("k > 0"), permutations)
-    placed = tests.join(own.withColumnRenamed("slot", "own_slot"), ["rep", "code"], "left")
+    placed = tests.join(broadcast_if_small(own), ["rep", "code"], "left")
     drawn = F.coalesce(F.col("own_slot") <= F.col("k"), F.lit(False))
     need = placed.withColumn("skip", drawn).withColumn("slot", F.col("k") + F.col("skip").cast("int"))
-    sims = need.join(sums, ["rep", "slot"]).withColumn(
+    sims = need.join(broadcast_if_small(sums), ["rep", "slot"]).withColumn(
         "sim", F.col("z") * (F.col("upto") - F.when(F.col("skip"), F.col("z")).otherwise(0.0)) / F.col("k"))
     extreme = F.count_if(F.round(F.abs("sim"), 9) >= F.round(F.abs("local_i"), 9))
     counted = sims.groupBy("code").agg(((extreme + 1) / (1 + permutations)).alias("p_value"))
