@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..session import broadcast_if_small, durable
+from ..session import broadcast_if_small, durable, only_row
 from . import tiling
 from .tiling import CELL
 
@@ -232,7 +232,7 @@ def feature_counts(areas: DataFrame, code: str, layers: dict[str, DataFrame], ar
 def split_points(assigned: DataFrame, areas: DataFrame, geom: str, margin: float, x: str = "x", y: str = "y",
                  area_code: str = "area_code") -> DataFrame:
     """Label assigned points `counted`, `near` (outside, within `margin` of the areas' total bounds) or `far`."""
-    box = total_bounds(areas, geom).select(F.struct("*")).scalar()
+    box = only_row(total_bounds(areas, geom))
     near = (F.col(x).between(box["minx"] - margin, box["maxx"] + margin)
             & F.col(y).between(box["miny"] - margin, box["maxy"] + margin))
     return assigned.withColumn("place", F.when(F.col(area_code).isNotNull(), "counted").when(near, "near").otherwise("far"))

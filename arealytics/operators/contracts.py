@@ -127,11 +127,12 @@ def profile(frame: DataFrame, dataset: str, key: Sequence[str] = ()) -> DataFram
     one = frame.agg(F.count(F.lit(1)).alias("rows"), cells.alias("missing_values"))
     key = [k for k in key if k in frame.columns]
     if key:
-        repeats = frame.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).scalar()
+        one = one.unionByName(duplicate_rows(frame, key).withColumnRenamed("duplicates", "duplicate_keys"), allowMissingColumns=True)
     else:
-        repeats = F.lit(0)
-    return one.select(F.lit(dataset).alias("dataset"), "rows", F.lit(len(frame.columns)).alias("columns"), "missing_values",
-                      repeats.cast("bigint").alias("duplicate_keys"))
+        one = one.withColumn("duplicate_keys", F.lit(0).cast("bigint"))
+    totals = one.agg(*[F.sum(c).alias(c) for c in ("rows", "missing_values", "duplicate_keys")])
+    return totals.select(F.lit(dataset).alias("dataset"), "rows", F.lit(len(frame.columns)).cast("bigint").alias("columns"),
+                         "missing_values", "duplicate_keys")
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, durable
+from ..session import broadcast_if_small, durable, only_row
 
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
@@ -83,7 +83,7 @@ def quantiles(frame: DataFrame, column: str, probabilities: Sequence[float], by:
             match = term if match is None else match & term
         sized = values.join(sizes, match).drop(*[f"_s_{c}" for c in by])
     else:
-        sized = values.withColumn("_size", sizes.scalar())
+        sized = values.withColumn("_size", F.lit(only_row(sizes)["_size"]))
     points = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")
     spots = (sized.select("*", points)
              .withColumn("_h", (F.col("_size") - 1) * F.col("q"))
@@ -107,7 +107,7 @@ def upper_median(frame: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
     if by:
         sized = values.join(sizes, list(by))
     else:
-        sized = values.withColumn("_size", sizes.scalar())
+        sized = values.withColumn("_size", F.lit(only_row(sizes)["_size"]))
     middle = F.floor(F.col("_size") / 2)
     return (sized.filter((middle >= F.col("below")) & (middle < F.col("below") + F.col("n")))
             .select(*by, F.col(column).alias("upper_median"), F.col("_size").alias("n")))

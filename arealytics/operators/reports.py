@@ -48,12 +48,11 @@ def quantile_labels(frame: DataFrame, column: str) -> DataFrame:
 def income_groups(frame: DataFrame, income: str, code: str, names: Sequence[str]) -> DataFrame:
     """Split the areas with an income into equally many groups from low to high, like `ntile`, without one big window."""
     some = frame.filter(F.col(income).isNotNull())
-    n, k = some.agg(F.count(F.lit(1))).scalar(), len(names)
     placed = ranked(some, [F.col(income).asc(), F.col(code).asc()], name="_r")
-    small, extra = F.floor(n / k), n % k
+    small, extra = divmod(placed.count(), len(names))
     wide = extra * (small + 1)
     group = F.when(F.col("_r") <= wide, F.floor((F.col("_r") - 1) / (small + 1))).otherwise(
-        extra + F.floor((F.col("_r") - 1 - wide) / F.greatest(small, F.lit(1))))
+        F.floor((F.col("_r") - 1 - wide) / max(small, 1)) + extra)
     return placed.withColumn("income_group", F.get(F.array(*[F.lit(x) for x in names]), group.cast("int"))).drop("_r")
 
 
@@ -82,7 +81,7 @@ def place_type_summary(frame: DataFrame, examples: int = 3, kind: str = "place_t
     return sizes.join(best, kind, "left")
 
 
-def rank_band_summary(frame: DataFrame, size: Column, label: str = "area_name", rank: str = "rank") -> DataFrame:
+def rank_band_summary(frame: DataFrame, size: int, label: str = "area_name", rank: str = "rank") -> DataFrame:
     """Per baseline fifth: median, mean and maximum of the rank range, and its biggest mover (ties: better rank, then name)."""
     banded = frame.withColumn("band", F.floor((F.col(rank) - 1) * 5 / size).cast("int"))
     first = F.struct((-F.col("rank_range")).alias("down"), F.col(rank).alias("r"), F.col(label).alias("name"))

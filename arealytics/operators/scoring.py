@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import mean_of, weighted_mean
-from ..session import durable
+from ..session import durable, only_row
 from .ranking import rank_class, ranked
 
 
@@ -26,21 +26,22 @@ def normalised_entropy(shares: DataFrame, by: str, value: str, categories: int,
         F.try_divide(F.greatest(F.ln(total) - F.sum(counts * F.ln(counts)) / total, F.lit(0.0)), scale).alias(name))
 
 
-def _stats(frame: DataFrame, columns: dict[str, Column]) -> Column:
-    """One scan for the means, deviations and ranges of all columns, as a scalar struct."""
+def _stats(frame: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Means, deviations and ranges of all columns from one scan, as numbers."""
     fields = []
-    for name, c in columns.items():
-        fields += [F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_sd"),
-                   F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
-    return frame.agg(F.struct(*fields)).scalar()
+    for c in columns:
+        fields += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_sd"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    return only_row(frame.agg(*fields)).asDict()
 
 
-def _zscore(c: Column, stats: Column, name: str) -> Column:
-    return F.when(stats[f"{name}_sd"] > 0, (c - stats[f"{name}_mean"]) / stats[f"{name}_sd"])
+def _zscore(name: str, stats: dict) -> Column:
+    mean, sd = stats[f"{name}_mean"], stats[f"{name}_sd"]
+    return (F.col(name) - float(mean)) / float(sd) if sd else F.lit(None).cast("double")
 
 
-def _minmax(c: Column, stats: Column, name: str) -> Column:
-    return F.try_divide(c - stats[f"{name}_min"], stats[f"{name}_max"] - stats[f"{name}_min"])
+def _minmax(name: str, stats: dict) -> Column:
+    low, high = stats[f"{name}_min"], stats[f"{name}_max"]
+    return (F.col(name) - float(low)) / float(high - low) if low is not None and high > low else F.lit(None).cast("double")
 
 
 SCALES = {"zscore": _zscore, "minmax": _minmax}
@@ -48,14 +49,14 @@ SCALES = {"zscore": _zscore, "minmax": _minmax}
 
 def zscores(frame: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Add z-scores by the population deviation; a column without spread gives missing values."""
-    stats = _stats(frame, {c: F.col(c) for c in columns})
-    return frame.withColumns({c + suffix: _zscore(F.col(c), stats, c) for c in columns})
+    stats = _stats(frame, columns)
+    return frame.withColumns({c + suffix: _zscore(c, stats) for c in columns})
 
 
 def standardised_scores(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add display scores 100 + 10 z: `columns` maps a value column to its score column."""
-    stats = _stats(frame, {c: F.col(c) for c in columns})
-    return frame.withColumns({name: _zscore(F.col(c), stats, c) * 10 + 100 for c, name in columns.items()})
+    stats = _stats(frame, list(columns))
+    return frame.withColumns({name: _zscore(c, stats) * 10 + 100 for c, name in columns.items()})
 
 
 def scale_indicators(frame: DataFrame, columns: Sequence[str], densities: Sequence[str], scale: str = "zscore",
@@ -65,25 +66,27 @@ def scale_indicators(frame: DataFrame, columns: Sequence[str], densities: Sequen
         raise ValueError(f"unknown scale: {scale}")
     values = {c: F.log1p(c) if log_densities and c in densities else F.col(c).cast("double") for c in columns}
     logged = frame.withColumns(values)
-    stats = _stats(logged, {c: F.col(c) for c in columns})
-    return logged.withColumns({c: SCALES[scale](F.col(c), stats, c) for c in columns})
+    stats = _stats(logged, columns)
+    return logged.withColumns({c: SCALES[scale](c, stats) for c in columns})
 
 
 def score_index(frame: DataFrame, pillars: dict[str, Sequence[str]], densities: Sequence[str], scale: str = "zscore",
                 log_densities: bool = True, overall: str = "index_z") -> DataFrame:
-    """Scale the indicators, average each pillar's available ones, and average the available pillars."""
+    """Scale the indicators, average each pillar's available ones, and average the available pillars.
+
+    Scaling needs two passes over the areas, so callers hand over a durable frame when it is costly to compute.
+    """
     columns = [c for names in pillars.values() for c in names]
     scaled = scale_indicators(frame, columns, densities, scale, log_densities)
     scaled = scaled.withColumns({p: mean_of([F.col(c) for c in names]) for p, names in pillars.items()})
     return scaled.withColumn(overall, mean_of([F.col(p) for p in pillars]))
 
 
-def ranked_scores(frame: DataFrame, score: str, code: str, size: Column | None = None) -> DataFrame:
+def ranked_scores(frame: DataFrame, score: str, code: str) -> DataFrame:
     """Add the rank (highest first, ties by code; unscored areas have none) and the quintile from 5 (top) to 1."""
     some = frame.filter(F.col(score).isNotNull())
-    count = some.agg(F.count(F.lit(1))).scalar() if size is None else size
     best = ranked(some, [F.col(score).desc(), F.col(code).asc()])
-    best = best.withColumn("quintile", rank_class(F.col("rank"), count) + 1)
+    best = best.withColumn("quintile", rank_class(F.col("rank"), best.count()) + 1)
     return best.unionByName(frame.filter(F.col(score).isNull()), allowMissingColumns=True)
 
 
@@ -109,8 +112,7 @@ def version_scores(frame: DataFrame, code: str, pillars: dict[str, Sequence[str]
                    versions: Sequence[Version]) -> DataFrame:
     """One row per version and area (`version`, code, `score`).
 
-    All versions share one scan: the scaled forms they need are computed once each from one scalar of statistics,
-    and every version is then a row-level mean.
+    All versions share one durable frame of areas and one row of statistics; each version is then a row-level mean.
     """
     columns = [c for names in pillars.values() for c in names]
     forms = {(v.log_densities, v.scale) for v in versions}
@@ -120,7 +122,8 @@ def version_scores(frame: DataFrame, code: str, pillars: dict[str, Sequence[str]
         if c in densities:
             sources[f"{c}_log"] = F.log1p(c)
     base = frame.select(F.col(code), *[s.alias(n) for n, s in sources.items()])
-    stats = _stats(base, {n: F.col(n) for n in sources})
+    base = durable(base)
+    stats = _stats(base, list(sources))
 
     def name(c, log, scale):
         return f"{c}_{scale}_{'log' if log and c in densities else 'raw'}"
@@ -128,7 +131,7 @@ def version_scores(frame: DataFrame, code: str, pillars: dict[str, Sequence[str]
     for log, scale in forms:
         for c in columns:
             source = f"{c}_log" if log and c in densities else c
-            scaled[name(c, log, scale)] = SCALES[scale](F.col(source), stats, source)
+            scaled[name(c, log, scale)] = SCALES[scale](source, stats)
     wide = base.select(code, *[c.alias(n) for n, c in scaled.items()])
     scores = []
     for v in versions:

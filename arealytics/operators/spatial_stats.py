@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import hotspot_label
-from ..session import broadcast_if_small, durable
+from ..session import broadcast_if_small, durable, only_row
 from .ranking import ranked
 
 _GROUP_LIMIT = 900
 
 
 def require_standardised(values: DataFrame, z: str = "z") -> DataFrame:
-    """Stop the job unless the values have mean 0 and population standard deviation 1."""
-    stats = values.agg(F.struct(F.avg(z).alias("mean"), F.stddev_pop(z).alias("sd"))).scalar()
-    fine = (F.abs(stats["mean"]) < 1e-9) & (F.abs(stats["sd"] - 1) < 1e-9)
-    checked = F.when(fine, F.col(z)).otherwise(F.raise_error(F.lit("Moran's I needs z-scores (mean 0, SD 1), not raw scores")))
-    return values.withColumn(z, checked.cast("double"))
+    """Refuse values that do not have mean 0 and population standard deviation 1."""
+    stats = only_row(values.agg(F.avg(z).alias("mean"), F.stddev_pop(z).alias("sd")))
+    if stats["mean"] is None or abs(stats["mean"]) >= 1e-9 or abs(stats["sd"] - 1) >= 1e-9:
+        raise ValueError("Moran's I needs z-scores (mean 0, SD 1), not raw scores")
+    return values
 
 
 def _lags(values: DataFrame, weights: DataFrame, code: str, z: str) -> DataFrame:
@@ -69,8 +69,9 @@ def global_moran_p(values: DataFrame, weights: DataFrame, permutations: int = 99
     products = (pairs.join(drawn.select("rep", F.col("place").alias("lo"), F.col("z").alias("za")), "lo")
                 .join(drawn.select("rep", F.col("place").alias("hi"), F.col("z").alias("zb")), ["rep", "hi"])
                 .groupBy("rep").agg(F.sum(F.col("w") * F.col("za") * F.col("zb")).alias("cross")))
-    scale = base.agg(F.count(F.lit(1)) / F.sum(F.col("z") * F.col("z"))).scalar()
-    per_rep = products.select("rep", (F.col("cross") * scale / weights.agg(F.sum("w")).scalar()).alias("stat"))
+    size = only_row(base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz")))
+    total = only_row(weights.agg(F.sum("w").alias("w")))["w"]
+    per_rep = products.select("rep", (F.col("cross") * (size["n"] / size["zz"] / total)).alias("stat"))
     observed = F.max(F.when(F.col("rep") == 0, F.col("stat")))
     # Rounding keeps exact ties (equal up to the order of summation) on the extreme side.
     return (per_rep.agg(observed.alias("morans_i"), F.collect_list(F.when(F.col("rep") > 0, F.abs("stat"))).alias("sims"))
@@ -120,5 +121,5 @@ def chance_positions(areas: DataFrame, code: str = "code", alpha: float = 0.05,
     """The areas marked in the by-chance picture: round(alpha * n) of them, drawn by a seeded order."""
     keyed = areas.select(F.col(code)).withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(code).cast("string"))))
     drawn = ranked(keyed, [F.col("_key").asc(), F.col(code).asc()], name="_slot")
-    by_chance = areas.agg(F.bround(F.count(F.lit(1)) * alpha)).scalar()
+    by_chance = round(areas.count() * alpha)
     return drawn.filter(F.col("_slot") <= by_chance).select(code)

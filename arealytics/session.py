@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -48,6 +48,11 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def only_row(frame: DataFrame) -> Row:
+    """The one row of an aggregate without groups. Its numbers then go into later plans as literals, which keeps those short."""
+    return frame.first()
+
+
 def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting (at most `rows` + 1 rows); a larger frame stays a shuffled join under AQE.
 
