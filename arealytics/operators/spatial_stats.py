@@ -104,9 +104,9 @@ def local_moran_p(local: DataFrame, permutations: int = 999, seed: int = 2026092
     sims = need.join(broadcast_if_small(sums), ["rep", "slot"]).withColumn(
         "sim", F.col("z") * (F.col("upto") - F.when(F.col("skip"), F.col("z")).otherwise(0.0)) / F.col("k"))
     extreme = F.count_if(F.round(F.abs("sim"), 9) >= F.round(F.abs("local_i"), 9))
-    counted = sims.groupBy("code").agg(((extreme + 1) / (1 + permutations)).alias("p_value"))
+    counted = sims.groupBy(F.col("code").alias(code)).agg(((extreme + 1) / (1 + permutations)).alias("p_value"))
     # An area without neighbours always simulates 0, which is never less extreme than its own 0.
-    return (local.join(counted, local[code] == counted["code"], "left").drop(counted["code"])
+    return (local.join(counted, code, "left")
             .withColumn("p_value", F.coalesce("p_value", F.lit(1.0))))
 
 
