@@ -15,9 +15,8 @@ MOST_PACKED = 512  # entries of one cell that are kept together in one row; full
 
 def area_index(areas: DataFrame, code: str, geom: str) -> tuple[DataFrame, list[int]]:
     """Entries (cell, code, odd, edge): every edge of every cell it touches, and one entry per cell corner inside an area."""
-    features = tiling.with_levels(areas.select(F.col(code).alias("code"), F.col(geom).alias("geom")), "geom")
+    features, edges = tiling.tile_layer(areas.select(F.col(code).alias("code"), F.col(geom).alias("geom")), "code", "geom")
     levels = tiling.levels_of(features)
-    edges = tiling.explode_edges(features, "geom", ["code"])
     flags = tiling.corner_flags(features, tiling.line_events(edges), ["code"]).filter("odd")
     entries = tiling.cell_edges(edges).select("code", *CELL, F.lit(False).alias("odd"), *_EDGE).unionByName(
         flags.select("code", *CELL, "odd", *[F.lit(None).cast("double").alias(c) for c in _EDGE]))
@@ -103,15 +102,14 @@ def _assign_by_entry(points: DataFrame, entries: DataFrame, levels: list[int], p
     return points.join(inside, points[point_id] == inside["_id"], "left").drop("_id")
 
 
-def polygon_pieces(features: DataFrame, key: str, other_levels: list[int], keep: list[str]) -> DataFrame:
+def polygon_pieces(layer: tuple[DataFrame, DataFrame], key: str, other_levels: list[int], keep: list[str]) -> DataFrame:
     """A feature as signed trapezoids inside cells: x range, heights above the cell's bottom at both ends, and sign.
 
     Inside one cell the feature's area is the sum of its pieces. A piece is either a part of an edge or a stretch of the cell's
     top side that is inside the feature, so no piece depends on edges outside its cell.
     """
-    spread = tiling.at_levels(features, other_levels)
+    spread, edges = (tiling.at_levels(frame, other_levels) for frame in layer)
     ids = [key, "own", *keep]
-    edges = tiling.explode_edges(spread, "geom", ids)
     size = F.col("size")
 
     # Parts of edges. A level edge that lies on a cell line belongs to the row below, where it has height.
@@ -171,11 +169,11 @@ def area_shares(polygons: DataFrame, areas: DataFrame, polygon_id: str = "id", p
     Overlaps are found cell by cell: an equi-join on the cell, a closed-form integral per pair of pieces, and one sum
     that is combined before the shuffle. Coordinates must be metric.
     """
-    left = tiling.with_levels(polygons.select(F.col(polygon_id).alias("pid"), F.col(polygon_geom).alias("geom"))
-                              .withColumn("whole", geo.polygon_area(F.col("geom"))), "geom")
-    right = tiling.with_levels(areas.select(F.col(code).alias("area_code"), F.col(geom).alias("geom")), "geom")
-    p = polygon_pieces(left, "pid", tiling.levels_of(right), ["whole"])
-    a = polygon_pieces(right, "area_code", tiling.levels_of(left), [])
+    whole = geo.polygon_area(F.col(polygon_geom)).alias("whole")
+    left = tiling.tile_layer(polygons.select(F.col(polygon_id).alias("pid"), F.col(polygon_geom).alias("geom"), whole), "pid", "geom", ["whole"])
+    right = tiling.tile_layer(areas.select(F.col(code).alias("area_code"), F.col(geom).alias("geom")), "area_code", "geom")
+    p = polygon_pieces(left, "pid", tiling.levels_of(right[0]), ["whole"])
+    a = polygon_pieces(right, "area_code", tiling.levels_of(left[0]), [])
     shape = ["own", "xa", "xb", "ha", "hb", "sign"]
     p, a = (f.withColumnsRenamed({c: f"{n}_{c}" for c in shape}) for f, n in ((p, "p"), (a, "a")))
     pairs = p.join(a, CELL).filter((F.col("level") == F.greatest("p_own", "a_own"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..session import durable
 from . import tiling
 
 
@@ -44,9 +45,10 @@ def neighbours(areas: DataFrame, code: str = "code", geom: str = "geom", digits:
     Shared vertices are found by an equi-join on the rounded vertex; a vertex that lies on the middle of another area's edge by
     a join on cells. The result holds each pair once, so its size is that of the answer.
     """
-    features = tiling.with_levels(areas.select(F.col(code).alias("code"), F.col(geom).alias("geom")), "geom")
-    points = (features.select("code", F.explode(geo.vertices(F.col("geom"))).alias("p"))
-              .select("code", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct())
+    features, edges = tiling.tile_layer(areas.select(F.col(code).alias("code"), F.col(geom).alias("geom")), "code", "geom")
+    ends = edges.select("code", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")),
+                                                  F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
+    points = durable(ends.select("code", "p.x", "p.y").distinct())
     rounded = points.select("code", F.round("x", digits).alias("x"), F.round("y", digits).alias("y")).distinct()
     same = (rounded.alias("a").join(rounded.alias("b"), ["x", "y"]).filter(F.col("a.code") != F.col("b.code"))
             .select(F.col("a.code").alias("i"), F.col("b.code").alias("j")).distinct())
@@ -55,9 +57,9 @@ def neighbours(areas: DataFrame, code: str = "code", geom: str = "geom", digits:
     size = tiling.cell_size(F.col("level"))
     placed = (points.select(F.col("code").alias("i"), "x", "y", F.explode(levels).alias("level"))
               .withColumn("row", F.floor(F.col("y") / size)).withColumn("col", F.floor(F.col("x") / size)))
-    edges = tiling.cell_edges(tiling.explode_edges(features, "geom", ["code"])).withColumnRenamed("code", "j")
+    held = tiling.cell_edges(edges).withColumnRenamed("code", "j")
     e = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
-    touching = (placed.join(edges.drop("size", "way"), tiling.CELL)
+    touching = (placed.join(held.drop("size", "way"), tiling.CELL)
                 .filter((F.col("i") != F.col("j")) & tiling.on_edge(F.col("x"), F.col("y"), e)).select("i", "j").distinct())
     both = touching.unionByName(touching.select(F.col("j").alias("i"), F.col("i").alias("j")))
     return same.unionByName(both).distinct()
@@ -80,7 +82,7 @@ def ring_problems(features: DataFrame, key: str, geom: str = "geom") -> DataFram
         F.when(geo.ring_area(F.col("ring")) == 0, F.lit("flat"))), lambda p: p.isNotNull())).alias("problem"))
 
     one = rings.select(F.struct("key", "part", "nth").alias("ring_id"), F.array(F.array("ring")).alias("geom"))
-    edges = tiling.explode_edges(tiling.with_levels(one, "geom"), "geom", ["ring_id"])
+    _, edges = tiling.tile_layer(one, "ring_id", "geom")
     cut = tiling.cell_edges(edges).drop("size", "way")
     e = ["x1", "y1", "x2", "y2"]
     other = cut.withColumnsRenamed({c: f"o_{c}" for c in e})

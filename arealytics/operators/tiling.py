@@ -6,10 +6,13 @@ cells and a very large one never turns into more than some thousands of cells. O
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..session import durable
 
 _MOST_CELLS_PER_SIDE = 64.0
 CELL = ["level", "row", "col"]
@@ -36,11 +39,20 @@ def levels_of(features: DataFrame) -> list[int]:
     return sorted(r["level"] for r in features.select("level").distinct().collect())
 
 
-def at_levels(features: DataFrame, others: list[int]) -> DataFrame:
-    """Repeat each feature at its own level and at each coarser one of another layer; `own` keeps its own level."""
+def tile_layer(frame: DataFrame, key: str, geom: str, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """A layer's features (key, level, bounds) and edges, both durable.
+
+    Every join below reads them more than once, and this way the geometry itself is read and unpacked only here.
+    """
+    sized = with_levels(frame.select(key, *keep, F.col(geom).alias("geom")), "geom")
+    return durable(sized.drop("geom")), durable(explode_edges(sized, "geom", [key, *keep]))
+
+
+def at_levels(frame: DataFrame, others: list[int]) -> DataFrame:
+    """Repeat each feature or edge at its own level and at each coarser one of another layer; `own` keeps its own level."""
     coarser = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col("own"))
-    renamed = features.withColumnRenamed("level", "own")
-    return renamed.withColumn("level", F.explode(F.concat(F.array("own"), coarser)))
+    spread = frame.withColumnRenamed("level", "own").withColumn("level", F.explode(F.concat(F.array("own"), coarser)))
+    return spread.withColumn("size", cell_size(F.col("level"))) if "size" in frame.columns else spread
 
 
 def _line_x(y: Column) -> Column:
