@@ -89,7 +89,7 @@ def read_cell_grid(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return frame.select("file", "sheet", F.col("row_no").cast("int").alias("row_no"), F.array(*[F.col(f"`{c}`") for c in columns]).alias("cells"))
 
 
-_FEATURE = "type string, properties map<string,string>, geometry string"
+_FEATURE = "struct<type:string,properties:map<string,string>,geometry:string>"
 _POINT = "array<double>"
 _DEPTH = {"Point": 1, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
 
@@ -102,7 +102,7 @@ def read_geojson(spark: SparkSession, path: str, properties: dict[str, str], who
     """
     if whole:
         doc = spark.read.text(path, wholetext=True)
-        items = doc.select(F.explode(F.from_json("value", f"features array<struct<{_FEATURE.replace(' string', ':string').replace(' map', ':map')}>>")["features"]).alias("f"))
+        items = doc.select(F.explode(F.from_json("value", f"struct<features:array<{_FEATURE}>>")["features"]).alias("f"))
     else:
         lines = spark.read.text(path).select(F.regexp_replace(_without_mark(F.col("value")), r"^\s+|[\s,]+$", "").alias("value"))
         single = lines.filter(F.col("value").startswith("{") & F.col("value").rlike(r'"type"\s*:\s*"Feature"'))

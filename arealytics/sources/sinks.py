@@ -72,7 +72,7 @@ def run_report(spark: SparkSession, runs: list[tuple]) -> DataFrame:
 
 
 def feature_lines(frame: DataFrame, properties: list[str], geom: str, digits: int = 5) -> DataFrame:
-    """One GeoJSON feature per row, as text: `to_json` leaves a missing property out."""
+    """One GeoJSON feature per row, as text; a missing property is null."""
     place = F.transform(F.col(geom), lambda part: F.transform(part, lambda ring: F.transform(
         ring, lambda p: F.array(F.round(p["x"], digits), F.round(p["y"], digits)))))
     geometry = F.struct(F.lit("MultiPolygon").alias("type"), place.alias("coordinates"))
@@ -84,20 +84,20 @@ def write_features(frame: DataFrame, path: str, properties: list[str], geom: str
     feature_lines(frame, properties, geom).write.mode("overwrite").text(path)
 
 
-def flat_layer(points: DataFrame, tile: float, digits: int = 5, chunk: int = 10_000, x: str = "x", y: str = "y",
+def flat_layer(points: DataFrame, tile: float, digits: int = 5, chunk: int = 10_000, key: str = "id", x: str = "x", y: str = "y",
                place: str = "place") -> DataFrame:
     """Counted and near points as flat coordinate lists [x, y, x, y, ...] per tile, in chunks of bounded length.
 
-    A tile that holds a third of all points becomes many chunks: rows are numbered per chunk by a hash of their place, so no list
-    grows with the data.
+    A tile that holds a third of all points becomes many chunks: points go to chunks by a hash of their key, so no list grows
+    with the data, even where many points share one place.
     """
     rounded = points.filter(F.col(place) != "far").select(
         place, F.floor(F.col(y) / tile).alias("tile_row"), F.floor(F.col(x) / tile).alias("tile_col"),
-        F.round(x, digits).alias("x"), F.round(y, digits).alias("y"))
+        F.round(x, digits).alias("x"), F.round(y, digits).alias("y"), F.xxhash64(key).alias("h"))
     keys = [place, "tile_row", "tile_col"]
     sizes = rounded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / chunk))
-    spread = rounded.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("x", "y"), parts))
+    spread = rounded.join(sizes, keys).withColumn("part", F.pmod("h", parts))
     pair = F.struct("x", "y")
     return spread.groupBy(*keys, "part").agg(F.flatten(F.transform(F.sort_array(F.collect_list(pair)), lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
 
