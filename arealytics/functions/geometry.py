@@ -62,16 +62,16 @@ def ring_area(ring: Column) -> Column:
 
 
 def _polygon_moments(polygon: Column) -> Column:
-    def signed(part):
-        def one(ring, i):
-            m = _ring_moments(ring)
-            # An outer ring adds and a hole takes away, whichever way the publisher drew it.
-            sign = F.when(i == 0, F.sign(m["a"])).otherwise(-F.sign(m["a"]))
-            return F.struct((m["a"] * sign).alias("a"), (m["mx"] * sign).alias("mx"), (m["my"] * sign).alias("my"))
-        return F.transform(part, one)
+    # The ring sums are made first and bound to a lambda variable, so each ring is walked once.
+    sums = F.transform(polygon, lambda part: F.transform(part, _ring_moments))
+
+    def signed(m, i):
+        # An outer ring adds and a hole takes away, whichever way the publisher drew it.
+        sign = F.when(i == 0, F.sign(m["a"])).otherwise(-F.sign(m["a"]))
+        return F.struct((m["a"] * sign).alias("a"), (m["mx"] * sign).alias("mx"), (m["my"] * sign).alias("my"))
 
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    return F.aggregate(F.flatten(F.transform(polygon, signed)), zero,
+    return F.aggregate(F.flatten(F.transform(sums, lambda part: F.transform(part, signed))), zero,
                        lambda t, m: F.struct((t["a"] + m["a"]).alias("a"), (t["mx"] + m["mx"]).alias("mx"),
                                              (t["my"] + m["my"]).alias("my")))
 

@@ -32,6 +32,8 @@ def _with_offsets(placed: DataFrame, totals: DataFrame, by: Sequence[str]) -> Da
     """Join the running total of the earlier partitions (`_before`) to every row of a placed frame."""
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
+    if not by:  # one row per partition at most
+        return placed.join(F.broadcast(offsets), "_part")
     names = ["_part", *by]
     offsets = durable(offsets.select(*[F.col(c).alias(f"_o_{c}") for c in names],
                                      *[c for c in offsets.columns if c not in names]))
