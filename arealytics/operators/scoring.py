@@ -22,8 +22,8 @@ def normalised_entropy(shares: DataFrame, by: str, value: str, categories: int,
     counts = F.when(~F.isnan(v) & (v > 0) & (v < float("inf")), v)
     scale = F.nullif(F.ln(F.lit(float(categories))), F.lit(0.0))
     total = F.sum(counts)
-    return shares.groupBy(by).agg(
-        F.try_divide(F.greatest(F.ln(total) - F.sum(counts * F.ln(counts)) / total, F.lit(0.0)), scale).alias(name))
+    entropy = F.when(total > 0, F.greatest(F.ln(total) - F.sum(counts * F.ln(counts)) / total, F.lit(0.0)))
+    return shares.groupBy(by).agg(F.try_divide(entropy, scale).alias(name))
 
 
 def _stats(frame: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

@@ -86,7 +86,7 @@ def area_shares(spark, sf):
 
 @query("assign_polygons", f"""WITH {SHARES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY area_share DESC, area_code) AS k FROM shr),
     g AS (SELECT id, max(area_share) AS win, sum(area_share) AS inside, count(*) AS n, max(CASE WHEN k = 1 THEN area_code END) AS code FROM k GROUP BY id)
-    SELECT p_partkey AS id, CASE WHEN greatest(0, 1 - inside) <= win THEN code END AS assigned_area, round(coalesce(win, 0), 6) AS winner_share,
+    SELECT p_partkey AS id, CASE WHEN greatest(0, 1 - inside) <= win + 1e-12 THEN code END AS assigned_area, round(coalesce(win, 0), 6) AS winner_share,
     round(greatest(0, 1 - coalesce(inside, 0)), 6) AS outside_share, coalesce(n, 0) AS n_areas_touched FROM part LEFT JOIN g ON id = p_partkey""")
 def assign_polygons(spark, sf):
     out = joins.assign_polygons(areas.blocks(spark, sf), _shares(spark, sf))

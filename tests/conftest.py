@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
     from arealytics.session import build_session
     home = tmp_path_factory.mktemp("spark")
     session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.maxMetadataStringLength": "5000", "spark.ui.showConsoleProgress": "false",
         "spark.sql.warehouse.dir": str(home / "warehouse"), "spark.checkpoint.dir": str(home / "checkpoints")})
     session.sparkContext.setLogLevel("ERROR")
     yield session
