@@ -5,12 +5,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..session import broadcast_if_small, durable, only_row
+from ..session import durable, only_row
 from . import tiling
 from .tiling import CELL
 
 _EDGE = ["x1", "y1", "x2", "y2"]
 MOST_PACKED = 512  # entries of one cell that are kept together in one row; fuller cells are joined entry by entry
+MOST_BROADCAST = 1_000_000  # entries (of about 50 bytes) of one cell size that are sent to every executor; more are shuffled
 
 
 def area_index(areas: DataFrame, code: str, geom: str) -> tuple[DataFrame, list[int]]:
@@ -47,7 +48,8 @@ def assign_points(points: DataFrame, areas: DataFrame, point_id: str = "id", x:
     edge, which no cell can overfill.
     """
     entries, levels = area_index(areas, code, geom)
-    loads = entries.groupBy(*CELL).agg(F.count(F.lit(1)).alias("load"))
+    loads = durable(entries.groupBy(*CELL).agg(F.count(F.lit(1)).alias("load")))
+    held = {r["level"]: r["n"] for r in loads.groupBy("level").agg(F.sum("load").alias("n")).collect()}  # a few cell sizes
     full = durable(loads.filter(F.col("load") > MOST_PACKED).select(*CELL))
     any_full = bool(full.limit(1).count())
     edge = F.when(F.col("x1").isNotNull(), F.struct(*_EDGE))
@@ -65,7 +67,9 @@ def assign_points(points: DataFrame, areas: DataFrame, point_id: str = "id", x:
         row, col, size = _cell_of(px, py, level)
         cells = packed.filter(F.col("level") == level).select(
             F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("held").alias(f"_held{i}"), F.col("full").alias(f"_full{i}"))
-        joined = joined.join(broadcast_if_small(cells), (row == F.col("_row")) & (col == F.col("_col")), "left").drop("_row", "_col")
+        if held.get(level, 0) <= MOST_BROADCAST:
+            cells = F.broadcast(cells)
+        joined = joined.join(cells, (row == F.col("_row")) & (col == F.col("_col")), "left").drop("_row", "_col")
         hits.append(_packed_hit(px, py, size, F.col(f"_held{i}")))
         fulls.append(F.coalesce(F.col(f"_full{i}"), F.lit(False)))
     kept = [F.col(c) for c in points.columns]

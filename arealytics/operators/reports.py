@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import total_behind_density
+from ..session import broadcast_if_small
 from .ranking import prefix_sums, quantiles, ranked, upper_median, value_ranks
 
 # Distance bands in km, and the histogram's range and step.
@@ -20,8 +22,8 @@ def class_counts(frame: DataFrame, column: str, classes: Sequence, name: str = "
     dtype = frame.schema[column].dataType
     listed = (frame.sparkSession.range(1)
               .select(F.posexplode(F.array(*[F.lit(c).cast(dtype) for c in classes])).alias("position", column)))
-    counts = frame.groupBy(column).agg(F.count(F.lit(1)).alias(name))
-    return (counts.join(F.broadcast(listed), column, "right")
+    counts = frame.filter(F.col(column).isin(list(classes))).groupBy(column).agg(F.count(F.lit(1)).alias(name))
+    return (listed.join(F.broadcast(counts), column, "left")  # at most one row per listed class
             .select("position", column, F.coalesce(name, F.lit(0)).alias(name)))
 
 
@@ -104,7 +106,7 @@ def distance_bands(frame: DataFrame, distance: str, score: str, bands=DISTANCE_B
         band = F.when(inside & (F.col(distance) < high) if high is not None else inside, i).otherwise(band)
     medians = upper_median(frame.withColumn("position", band).filter(F.col("position").isNotNull()), score, by=["position"])
     listed = frame.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(b[2]) for b in bands])).alias("position", "band"))
-    return (medians.join(F.broadcast(listed), "position", "right")
+    return (listed.join(F.broadcast(medians), "position", "left")  # at most one row per band
             .select("position", "band", F.coalesce("n", F.lit(0)).alias("n"), "upper_median"))
 
 
@@ -127,7 +129,7 @@ def histogram(frame: DataFrame, column: str, low: float = SCORE_LOW, high: float
     exact = (F.col("v") == F.lit(float(low)) + slot * half).cast("int")
     counts = values.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.sum(exact).alias("at_edge"))
     listed = frame.sparkSession.range(1).select(F.explode(F.sequence(F.lit(-1), F.lit(slots))).alias("slot"))
-    filled = counts.join(F.broadcast(listed), "slot", "right").fillna(0)
+    filled = listed.join(F.broadcast(counts), "slot", "left").fillna(0)  # at most one row per slot
     # From here on there is one row per slot, a number fixed by the axis.
     after = Window.orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
     everything = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -159,7 +161,7 @@ def spearman(frame: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
     for side in ("x", "y"):
         values = pairs.groupBy(*by, side).agg(F.sum("w").alias("n"))
         summed = prefix_sums(values, [F.col(side).asc()], "n", by)
-        ranks[side] = summed.select(*by, side, (F.col("below") + (F.col("n") + 1) / 2).alias(f"r{side}"))
+        ranks[side] = broadcast_if_small(summed.select(*by, side, (F.col("below") + (F.col("n") + 1) / 2).alias(f"r{side}")))
     joined = pairs.join(ranks["x"], [*by, "x"]).join(ranks["y"], [*by, "y"])
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     sums = joined.groupBy(*by).agg(F.sum("w").alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"),
@@ -204,4 +206,12 @@ def extremes(frame: DataFrame, area: str, diversity: str, label: str, businesses
 def percent_positions(frame: DataFrame, column: str) -> DataFrame:
     """Add, per row, how many values are at or below its own: counted per distinct value, then joined back."""
     values = value_ranks(frame, column).select(F.col(column).alias("_v"), (F.col("below") + F.col("n")).alias("at_or_below"))
-    return frame.join(values, F.col(column) == F.col("_v"), "left").drop("_v")
+    return frame.join(broadcast_if_small(values), F.col(column) == F.col("_v"), "left").drop("_v")
+
+
+def hover_totals(layer: DataFrame, code: str, densities: dict[str, str], area: str, fractions: DataFrame, groups: Sequence[str],
+                 digits: int = 1) -> DataFrame:
+    """Per area the whole totals behind its densities (total name -> density column) and its fractional counts, rounded."""
+    totals = [total_behind_density(F.col(c), F.col(area)).alias(n) for n, c in densities.items()]
+    shares = fractions.select(F.col("area_code").alias(code), *[F.round(g, digits).alias(g) for g in groups])
+    return layer.select(code, *totals).join(shares, code, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import projection, scores
 from ..operators import areas as joins
-from ..operators import network, scoring, spatial_stats
+from ..operators import network, reports, scoring, spatial_stats
 from ..session import durable
 from . import areas
 from .areas import SCORED_SQL, table
@@ -106,6 +106,14 @@ def fractional_counts(spark, sf):
     return counts.select("area_code", *[F.round(n, 6).alias(n) for n in names])
 
 
+@query("hover_totals", f"""WITH {SHARES_SQL}, f AS (SELECT area_code, round(coalesce(sum(area_share) FILTER (WHERE p_type = 'ECONOMY'), 0), 4) AS primary FROM shr GROUP BY area_code),
+    n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) SELECT code, coalesce(n, 0) AS lines, primary FROM sq LEFT JOIN f ON area_code = code LEFT JOIN n ON l_suppkey = code""")
+def hover_totals(spark, sf):
+    groups = areas.blocks(spark, sf).select("id", F.when(F.col("p_type") == "ECONOMY", "primary").alias("school_group"))
+    fractions = joins.fractional_counts(_shares(spark, sf), groups, "id", "school_group", ["primary"])
+    return reports.hover_totals(areas.indicators(spark, sf), "code", {"lines": "lines_per_km2"}, "area_km2", fractions, ["primary"], digits=4)
+
+
 @query("street_intersections", """WITH v AS (SELECT l_partkey AS x, l_suppkey AS y,
     row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
     g AS (SELECT x, y, sum(CASE WHEN k = 1 OR k = n THEN 1 ELSE 2 END) AS legs FROM v GROUP BY x, y)
