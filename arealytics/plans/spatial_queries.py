@@ -106,8 +106,8 @@ def fractional_counts(spark, sf):
     return counts.select("area_code", *[F.round(n, 6).alias(n) for n in names])
 
 
-@query("hover_totals", f"""WITH {SHARES_SQL}, f AS (SELECT area_code, round(coalesce(sum(area_share) FILTER (WHERE p_type = 'ECONOMY'), 0), 4) AS primary FROM shr GROUP BY area_code),
-    n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) SELECT code, coalesce(n, 0) AS lines, primary FROM sq LEFT JOIN f ON area_code = code LEFT JOIN n ON l_suppkey = code""")
+@query("hover_totals", f"""WITH {SHARES_SQL}, f AS (SELECT area_code, round(coalesce(sum(area_share) FILTER (WHERE p_type = 'ECONOMY'), 0), 4) AS "primary" FROM shr GROUP BY area_code),
+    n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) SELECT code, coalesce(n, 0) AS lines, "primary" FROM sq LEFT JOIN f ON area_code = code LEFT JOIN n ON l_suppkey = code""")
 def hover_totals(spark, sf):
     groups = areas.blocks(spark, sf).select("id", F.when(F.col("p_type") == "ECONOMY", "primary").alias("school_group"))
     fractions = joins.fractional_counts(_shares(spark, sf), groups, "id", "school_group", ["primary"])
