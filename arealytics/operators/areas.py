@@ -33,10 +33,10 @@ def _packed_hit(x: Column, y: Column, size: float, held: Column) -> Column:
     left, bottom = F.floor(x / size) * size, F.floor(y / size) * size
 
     def holds(area):
-        # One walk over the edges: -1 once the point lies on one, else the number of crossings.
-        crossings = F.aggregate(area["edges"], area["odd"].cast("int"), lambda n, e: F.when(
-            (n < 0) | tiling.on_edge(x, y, e), -1).otherwise(n + tiling.path_crossings(x, y, left, bottom, e)))
-        return (crossings < 0) | (crossings % 2 == 1)
+        # Two short walks: one that carries both answers was measured at half the speed.
+        crossings = F.aggregate(area["edges"], area["odd"].cast("int"),
+                                lambda n, e: n + tiling.path_crossings(x, y, left, bottom, e))
+        return (crossings % 2 == 1) | F.exists(area["edges"], lambda e: tiling.on_edge(x, y, e))
     return F.array_min(F.transform(F.filter(held, holds), lambda area: area["code"]))
 
 
