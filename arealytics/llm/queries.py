@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, hash_search, mixing, pivot_search, secret_scan
-from .common import table
+from . import chat_format, hash_search, language_id, mixing, packing, pivot_search, secret_scan
+from .common import remainder, table
 
 
 def op2_neighbours(spark, sf_dir):
@@ -40,7 +40,20 @@ def op9_source_mix(spark, sf_dir):
     return made.select("doc_id", "source", "epoch", F.col("size").alias("tokens"), "block", "position")
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k}
+def op7_languages(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = language_id.learn(documents.where(~held_out))
+    found = language_id.predict(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op10_packed(spark, sf_dir):
+    made = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {"op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k}
 
 ORACLE = {"op4_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS i FROM embeddings
