@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, hash_search, language_id, mixing, packing, pivot_search, secret_scan
+from . import chat_format, hash_search, language_id, mixing, ngram_join, packing, pivot_search, secret_scan
 from .common import remainder, table
 
 
@@ -48,12 +48,16 @@ def op7_languages(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op8_near_duplicates(spark, sf_dir):
+    return ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_packed(spark, sf_dir):
     made = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k}
+QUERIES = {"op8_near_duplicates": op8_near_duplicates, "op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k}
 
 ORACLE = {"op4_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS i FROM embeddings
@@ -93,5 +97,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id"""
 
 
+ORACLE["op8_near_duplicates"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents),
+g AS (SELECT doc_id, text, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) END AS grams FROM w),
+k AS (SELECT doc_id, grams, sha256(CASE WHEN len(grams) = 0 THEN 'text' || text ELSE array_to_string(grams, chr(10)) END) AS key FROM g),
+t AS (SELECT key, min(doc_id) AS least, count(*) AS copies, any_value(grams) AS grams FROM k GROUP BY key),
+u AS (SELECT key, len(grams) AS n, unnest(grams) AS gram FROM t),
+c AS (SELECT a.key AS x, b.key AS y FROM u a JOIN u b ON a.gram = b.gram AND a.key <> b.key GROUP BY a.key, b.key, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+reach AS (SELECT key AS x, key AS y FROM t UNION SELECT r.x, c.y FROM reach r JOIN c ON r.y = c.x),
+cls AS (SELECT x AS key, min(least) AS class_id FROM reach JOIN t ON t.key = y GROUP BY x),
+l AS (SELECT x AS key, sum(copies) AS docs, count(*) AS texts FROM c JOIN t ON t.key = y GROUP BY x)
+SELECT k.doc_id, class_id, (coalesce(docs, 0) + copies - 1)::BIGINT AS links, coalesce(texts, 0)::BIGINT AS text_links, copies
+FROM k JOIN t USING (key) JOIN cls USING (key) LEFT JOIN l USING (key)"""
+
+
 def registered():
     return QUERIES, ORACLE
