@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, hash_search, language_id, mixing, ngram_join, packing, pivot_search, secret_scan
+from . import chat_format, hash_search, language_id, mixing, ngram_join, packing, pivot_search, secret_scan, toxicity
 from .common import remainder, table
 
 
@@ -40,6 +40,20 @@ def op9_source_mix(spark, sf_dir):
     return made.select("doc_id", "source", "epoch", F.col("size").alias("tokens"), "block", "position")
 
 
+def toxic_model(spark, sf_dir):
+    """Learnt only from labelled rows whose remainder is not 1."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(F.col("doc_id"), 3) != 1)
+    return toxicity.learn(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+
+
+TOXIC_FROM = 0.7
+
+
+def op6_toxicity(spark, sf_dir):
+    found = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), toxic_model(spark, sf_dir))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op7_languages(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -57,7 +71,7 @@ def op10_packed(spark, sf_dir):
     return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op8_near_duplicates": op8_near_duplicates, "op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k}
+QUERIES = {"op6_toxicity": op6_toxicity, "op8_near_duplicates": op8_near_duplicates, "op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k}
 
 ORACLE = {"op4_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS i FROM embeddings
