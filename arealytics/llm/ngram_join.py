@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 
 WORDS = re.compile(r"\w+")
 PRIME = (1 << 61) - 1
@@ -81,7 +81,7 @@ def band_hashes(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, bands): key is equal for texts of the same n-gram set; bands is NULL where there are no words."""
+    """(row, doc_id, key, bands): key is equal for texts of the same n-gram set; bands is NULL where there are no words."""
     def made(batches):
         for batch in batches:
             if len(_WORD) > 500_000:
@@ -91,10 +91,10 @@ def signatures(documents: DataFrame, doc_id: str, text: str, n: int, bands: int,
                 own = grams(t, n)
                 keys.append(xxhash.xxh128_digest(own.tobytes() if len(own) else b"text" + t.encode("utf-8", "surrogatepass")))
                 found.append(band_hashes(own, bands, rows).view(np.int64) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["row", "doc_id", "key", "bands"])
 
-    read = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return read.mapInArrow(made, "doc_id long, key binary, bands array<long>")
+    read = documents.select(row_key(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return read.mapInArrow(made, "row long, doc_id long, key binary, bands array<long>")
 
 
 def bucket_edges(texts: DataFrame) -> DataFrame:
@@ -208,18 +208,19 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.join(tied, F.col("key") == F.col("a"), "left").select("key", F.coalesce("root", "key").alias("label"))
 
 
-def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """(doc_id, class_id, links, text_links, copies): one row per document."""
+def memberships(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """(row, doc_id, class_id, class_row, links, text_links, copies): one row per document. row is row_key(doc_id, text), class_row that of
+    the class's first document: smallest id, then smallest row."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(documents, doc_id, text, n, bands, rows))
-    texts = written(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    texts = written(signed.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")))
     ties = written(bucket_edges(texts.where("bands IS NOT NULL")))
     met = components(ties, ends(ties)).withColumnRenamed("label", "group")
     # The sets of the texts that meet others are read again, from one document each; all other texts stay where they are.
-    asked = written(met.join(texts.select("key", "least", "copies"), "key"))
-    own = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    wanted = asked.select(F.col("least").alias("doc_id")).distinct()
-    chosen = own.join(wanted, own["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    asked = written(met.join(texts.select("key", "first", "copies"), "key"))
+    own = documents.select(row_key(doc_id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chosen = own.join(written(asked.select("first.row")), "row", "left_semi")
 
     def sets(batches):
         for batch in batches:
@@ -227,14 +228,27 @@ def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
             keys = [xxhash.xxh128_digest(g.tobytes()) for g in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))], ["key", "grams"])
 
-    full = chosen.mapInArrow(sets, "key binary, grams array<long>").groupBy("key").agg(F.any_value("grams").alias("grams"))
+    full = chosen.select("text").mapInArrow(sets, "key binary, grams array<long>").groupBy("key").agg(F.any_value("grams").alias("grams"))
     members = written(asked.join(full, "key").select("group", "key", "copies", "grams"))
     found = written(compared(members, threshold))
     counts = found.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     forest = found.where("other IS NOT NULL").select("key", "other")
     tied = components(forest, ends(forest))
-    named = texts.select("key", "least", "copies").join(tied, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = texts.select("key", "first", "copies").join(tied, "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = written(named.join(counts, "key", "left"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    per_text = named.join(smallest, "label").select("key", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
-    return signed.select("doc_id", "key").join(written(per_text), "key").select("doc_id", "class_id", "links", "text_links", "copies")
+    smallest = named.groupBy("label").agg(F.min("first").alias("class"))
+    per_text = named.join(smallest, "label").select("key", F.col("class.id").alias("class_id"), F.col("class.row").alias("class_row"), "copies",
+                                                    (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
+    return signed.select("row", "doc_id", "key").join(written(per_text), "key").select("row", "doc_id", "class_id", "class_row", "links", "text_links", "copies")
+
+
+def classes(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, links, text_links, copies): one row per document; options as for `memberships`."""
+    return memberships(documents, **options).select("doc_id", "class_id", "links", "text_links", "copies")
+
+
+def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The first document of every class, with all its columns; of equal rows one."""
+    kept = written(memberships(documents, doc_id, text, **options).select(F.col("class_row").alias("__row")).distinct())
+    rows = documents.withColumn("__row", row_key(doc_id, text)).join(kept, "__row", "left_semi")
+    return rows.dropDuplicates(["__row"]).select(documents.columns)

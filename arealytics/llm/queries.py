@@ -3,10 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, hash_search, language_id, mixing, ngram_join, packing, pivot_search, secret_scan, toxicity
+from . import backoff, chat_format, hash_search, language_id, mixing, ngram_join, packing, pivot_search, secret_scan, toxicity
 from .common import remainder, table
 
 
+def op1_backoff_scores(spark, sf_dir):
+    found = backoff.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_tokens", F.round("score", 6).alias("score"), F.round("mean_log", 9).alias("mean_log"))
+
+
 def op2_neighbours(spark, sf_dir):
     return hash_search.search(table(spark, sf_dir, "embeddings"))
 
@@ -71,7 +76,7 @@ def op10_packed(spark, sf_dir):
     return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op8_near_duplicates": op8_near_duplicates, "op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k}
+QUERIES = {"op1_backoff_scores": op1_backoff_scores, "op6_toxicity": op6_toxicity, "op8_near_duplicates": op8_near_duplicates, "op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k}
 
 ORACLE = {"op4_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS i FROM embeddings
@@ -126,5 +131,16 @@ SELECT k.doc_id, class_id, (coalesce(docs, 0) + copies - 1)::BIGINT AS links, co
 FROM k JOIN t USING (key) JOIN cls USING (key) LEFT JOIN l USING (key)"""
 
 
+ORACLE["op1_backoff_scores"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+c1 AS (SELECT word, count(*) AS n FROM t GROUP BY word), c2 AS (SELECT before, word, count(*) AS n FROM t WHERE i > 1 GROUP BY before, word),
+s AS (SELECT t.doc_id, CASE WHEN t.before IS NULL THEN ln(w.n) - ln((SELECT count(*) FROM t)) WHEN p.n >= 2 THEN ln(p.n) - ln(v.n)
+    ELSE ln(0.4) + ln(w.n) - ln((SELECT count(*) FROM t)) END AS x
+  FROM t JOIN c1 w ON w.word = t.word LEFT JOIN c1 v ON v.word = t.before LEFT JOIN c2 p ON p.before = t.before AND p.word = t.word)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_tokens, round(coalesce(sum(s.x), 0), 6) AS score, round(sum(s.x) / len(d.w), 9) AS mean_log
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.w"""
+
+
 def registered():
     return QUERIES, ORACLE
