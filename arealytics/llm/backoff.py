@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import row_key, written
 
 WORDS = re.compile(r"\w+")
-HOT, BUCKET_ROWS, PART_CHARS = 20_000, 4_000_000, 12_000_000
+HOT, BUCKET_ROWS, PART_CHARS, KEPT_WORDS = 20_000, 2_000_000, 6_000_000, 150_000
 PAGE = "kind int, bucket int, page binary"
 SUMS, PAIRS, LOOKUPS, COUNTS = range(4)
 TYPES = [np.dtype(x) for x in ("<u8", "<i8", "<f8", "<i4", "<u4", "<u2", "<u1")]
@@ -75,7 +75,7 @@ def parts(batches):
         sizes = np.cumsum([len(t) for t in texts]) // PART_CHARS
         for part in np.unique(sizes):
             at = np.flatnonzero(sizes == part)
-            if len(_WORD) > 500_000:
+            if len(_WORD) > KEPT_WORDS:
                 _WORD.clear()
             lengths, found = [], []
             for i in at:
