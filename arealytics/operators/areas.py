@@ -40,7 +40,7 @@ def _packed_hit(x: Column, y: Column, size: float, held: Column) -> Column:
     return F.array_min(F.transform(F.filter(held, holds), lambda area: area["code"]))
 
 
-def assign_points(points: DataFrame, areas: DataFrame, point_id: str = "id", x: str = "x", y: str = "y",
+def assign_points(points: DataFrame, areas: DataFrame, x: str = "x", y: str = "y",
                   code: str = "code", geom: str = "geom", name: str = "area_code") -> DataFrame:
     """Add the area that holds each point (its boundary included); the lowest code wins a tie, outside is missing.
 
@@ -84,16 +84,16 @@ def assign_points(points: DataFrame, areas: DataFrame, point_id: str = "id", x:
     for other in fulls[1:]:
         crowded = crowded | other
     simple = joined.filter(~crowded).select(*kept, best.alias(name))
-    hard = joined.filter(crowded).select(*kept)
-    return simple.unionByName(_assign_by_entry(hard, entries, levels, point_id, x, y, name))
+    # Rows are told apart by a number of their own, fixed by the write, so repeated and missing ids do not matter.
+    hard = durable(joined.filter(crowded).select(*kept, F.monotonically_increasing_id().alias("_row")))
+    return simple.unionByName(_assign_by_entry(hard, entries, levels, x, y, name).drop("_row"))
 
 
-def _assign_by_entry(points: DataFrame, entries: DataFrame, levels: list[int], point_id: str, x: str, y: str,
-                     name: str) -> DataFrame:
+def _assign_by_entry(points: DataFrame, entries: DataFrame, levels: list[int], x: str, y: str, name: str) -> DataFrame:
     """The same test with one row per point and entry, summed per point and area."""
     level = F.explode(F.array(*[F.lit(v) for v in levels])).alias("level")
     size = tiling.cell_size(F.col("level"))
-    places = (points.select(F.col(point_id).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"), level)
+    places = (points.select(F.col("_row").alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"), level)
               .withColumn("row", F.floor(F.col("_y") / size)).withColumn("col", F.floor(F.col("_x") / size)))
     e = {c: F.col(c) for c in _EDGE}
     px, py = F.col("_x"), F.col("_y")
@@ -104,7 +104,7 @@ def _assign_by_entry(points: DataFrame, entries: DataFrame, levels: list[int], p
                    F.max(F.coalesce(tiling.on_edge(px, py, e), F.lit(False))).alias("edge"))
               .filter(F.col("odd") | F.col("edge"))
               .groupBy("_id").agg(F.min("code").alias(name)))
-    return points.join(inside, points[point_id] == inside["_id"], "left").drop("_id")
+    return points.join(inside, points["_row"] == inside["_id"], "left").drop("_id")
 
 
 def polygon_pieces(layer: tuple[DataFrame, DataFrame], key: str, other_levels: list[int], keep: list[str]) -> DataFrame:
@@ -181,8 +181,12 @@ def area_shares(polygons: DataFrame, areas: DataFrame, polygon_id: str = "id", p
     a = polygon_pieces(right, "area_code", tiling.levels_of(left[0]), [])
     shape = ["own", "xa", "xb", "ha", "hb", "sign"]
     p, a = (f.withColumnsRenamed({c: f"{n}_{c}" for c in shape}) for f, n in ((p, "p"), (a, "a")))
-    pairs = p.join(a, CELL).filter((F.col("level") == F.greatest("p_own", "a_own"))
-                                   & (F.col("p_xa") < F.col("a_xb")) & (F.col("a_xa") < F.col("p_xb")))
+    # Pieces meet at the coarser of their two levels: a polygon at its own level meets every area there, a repeated one only areas that
+    # are at home there. With the role in the key no other pair is made.
+    home = F.lit("home")
+    p = p.withColumn("role", F.when(F.col("p_own") == F.col("level"), home).otherwise(F.lit("guest")))
+    a = a.withColumn("role", F.explode(F.when(F.col("a_own") == F.col("level"), F.array(home, F.lit("guest"))).otherwise(F.array(home))))
+    pairs = p.join(a, [*CELL, "role"]).filter((F.col("p_xa") < F.col("a_xb")) & (F.col("a_xa") < F.col("p_xb")))
     return (_shared_integrals(pairs).groupBy("pid", "area_code")
             .agg(F.sum("part").alias("overlap"), F.max("whole").alias("whole"))
             # Sums of floats leave a trace where polygons only touch.

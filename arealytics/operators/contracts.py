@@ -156,7 +156,7 @@ def run_checks(frame: DataFrame, dataset: str, checks: Sequence[Check], start: i
         if c.low is not None:
             broken = broken | F.coalesce(v < c.low, F.lit(True))
         if c.high is not None:
-            broken = broken | (v > c.high)
+            broken = broken | F.coalesce(v > c.high, F.lit(True))
         if c.equals is not None:
             broken = broken | ~v.eqNullSafe(F.lit(float(c.equals)))
         whole = F.when(v == F.floor(v), F.format_number(v, 0)).otherwise(v.cast("string"))

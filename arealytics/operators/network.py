@@ -60,7 +60,7 @@ def neighbours(areas: DataFrame, code: str = "code", geom: str = "geom", digits:
     held = tiling.cell_edges(edges).withColumnRenamed("code", "j")
     e = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
     touching = (placed.join(held.drop("size", "way"), tiling.CELL)
-                .filter((F.col("i") != F.col("j")) & tiling.on_edge(F.col("x"), F.col("y"), e)).select("i", "j").distinct())
+                .filter((F.col("i") != F.col("j")) & tiling.near_edge(F.col("x"), F.col("y"), e, 10.0 ** -digits)).select("i", "j").distinct())
     both = touching.unionByName(touching.select(F.col("j").alias("i"), F.col("i").alias("j")))
     return same.unionByName(both).distinct()
 

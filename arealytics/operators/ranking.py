@@ -73,19 +73,22 @@ def value_ranks(frame: DataFrame, column: str, by: Sequence[str] = ()) -> DataFr
     return summed.withColumn("avg_rank", F.col("below") + (F.col("n") + 1) / 2)
 
 
+def _sized(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add the number of rows of each group (`_size`), a missing group included. Sizes are one row per group; when they are counted few
+    they are broadcast, so that a group that holds most values is not brought to one task."""
+    sizes = values.groupBy(*by).agg(F.sum("n").alias("_size"))
+    if not by:
+        return values.withColumn("_size", F.lit(only_row(sizes)["_size"]))
+    sizes = broadcast_if_small(durable(sizes.select(*[F.col(c).alias(f"_s_{c}") for c in by], "_size")))
+    match = F.lit(True)
+    for c in by:
+        match = match & values[c].eqNullSafe(sizes[f"_s_{c}"])
+    return values.join(sizes, match).drop(*[f"_s_{c}" for c in by])
+
+
 def quantiles(frame: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group and probability (`q`, `value`)."""
-    values = value_ranks(frame, column, by)
-    sizes = values.groupBy(*by).agg(F.sum("n").alias("_size"))
-    if by:
-        match = None
-        sizes = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in by], "_size")
-        for c in by:
-            term = values[c].eqNullSafe(sizes[f"_s_{c}"])
-            match = term if match is None else match & term
-        sized = values.join(sizes, match).drop(*[f"_s_{c}" for c in by])
-    else:
-        sized = values.withColumn("_size", F.lit(only_row(sizes)["_size"]))
+    sized = _sized(value_ranks(frame, column, by), by)
     points = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")
     spots = (sized.select("*", points)
              .withColumn("_h", (F.col("_size") - 1) * F.col("q"))
@@ -104,12 +107,7 @@ def quantiles(frame: DataFrame, column: str, probabilities: Sequence[float], by:
 
 def upper_median(frame: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """The sorted values' item at position floor(n / 2), counted from 0: the upper one of two middle values."""
-    values = value_ranks(frame, column, by)
-    sizes = values.groupBy(*by).agg(F.sum("n").alias("_size"))
-    if by:
-        sized = values.join(sizes, list(by))
-    else:
-        sized = values.withColumn("_size", F.lit(only_row(sizes)["_size"]))
+    sized = _sized(value_ranks(frame, column, by), by)
     middle = F.floor(F.col("_size") / 2)
     return (sized.filter((middle >= F.col("below")) & (middle < F.col("below") + F.col("n")))
             .select(*by, F.col(column).alias("upper_median"), F.col("_size").alias("n")))

@@ -134,6 +134,13 @@ def on_edge(px: Column, py: Column, e) -> Column:
             & (cross == 0))
 
 
+def near_edge(px: Column, py: Column, e, within: float) -> Column:
+    """Is the point at most `within` from the edge?"""
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    along = F.least(F.greatest(F.try_divide((px - e["x1"]) * dx + (py - e["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+    return F.hypot(px - e["x1"] - along * dx, py - e["y1"] - along * dy) <= within
+
+
 def line_events(edges: DataFrame) -> DataFrame:
     """Where edges meet the lower lines of cell rows: `col` is the first cell whose corner is to the right of the edge.
 

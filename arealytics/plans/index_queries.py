@@ -295,11 +295,11 @@ def score_middle_share(spark, sf):
 
 @query("area_cards", f"""WITH {SCORED_SQL} SELECT code, area_name, rank, greatest(70, least(130, round(intensity_score, 6))) AS intensity,
     greatest(70, least(130, round(diversity_score, 6))) AS diversity, greatest(70, least(130, round(design_score, 6))) AS design,
-    floor(lines_per_km2 + 0.5)::BIGINT AS lines_shown, round(lines_per_km2 * area_km2)::BIGINT AS lines_total FROM final WHERE rank <= 20""")
+    floor(lines_per_km2 + 0.5)::BIGINT AS lines_shown, round(lines_per_km2 * area_km2)::BIGINT AS lines_total FROM final""")
 def area_cards(spark, sf):
     def clip(name):
         return F.greatest(F.lit(70.0), F.least(F.lit(130.0), F.round(f"{name}_score", 6))).alias(name)
-    layer = areas.scored(spark, sf).filter(F.col("rank") <= 20)
+    layer = areas.scored(spark, sf)
     return layer.select("code", "area_name", "rank", clip("intensity"), clip("diversity"), clip("design"),
                         scores.half_up(F.col("lines_per_km2")).alias("lines_shown"),
                         scores.total_behind_density(F.col("lines_per_km2"), F.col("area_km2")).alias("lines_total"))
@@ -317,13 +317,17 @@ def axis_range(spark, sf):
     return reports.axis_range(areas.scored(spark, sf), "score")
 
 
-WIDE_SQL = """wide AS (SELECT user_id AS site, user_id % 20 AS area,
-    sum(value) FILTER (WHERE event_type = 'view' AND dayofweek(ts) BETWEEN 1 AND 5) AS view_weekday, sum(value) FILTER (WHERE event_type = 'view' AND dayofweek(ts) IN (0, 6)) AS view_weekend,
-    sum(value) FILTER (WHERE event_type = 'click' AND dayofweek(ts) BETWEEN 1 AND 5) AS click_weekday, sum(value) FILTER (WHERE event_type = 'click' AND dayofweek(ts) IN (0, 6)) AS click_weekend
-    FROM events GROUP BY user_id),
-  long AS (SELECT site, area, 'weekday' AS day_type, view_weekday AS c FROM wide UNION ALL SELECT site, area, 'weekday', click_weekday FROM wide
-    UNION ALL SELECT site, area, 'weekend', view_weekend FROM wide UNION ALL SELECT site, area, 'weekend', click_weekend FROM wide),
-  site_avg AS (SELECT site, area, day_type, avg(c) AS a FROM long WHERE c IS NOT NULL GROUP BY ALL),
+EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
+
+
+def _wide_sql():
+    days = {"weekday": "BETWEEN 1 AND 5", "weekend": "IN (0, 6)"}
+    sums = ", ".join(f"sum(value) FILTER (WHERE event_type = '{k}' AND dayofweek(ts) {days[d]}) AS {k}_{d}" for k in EVENT_TYPES for d in days)
+    rows = " UNION ALL ".join(f"SELECT site, area, '{d}' AS day_type, {k}_{d} AS c FROM wide" for k in EVENT_TYPES for d in days)
+    return f"wide AS (SELECT user_id AS site, user_id % 20 AS area, {sums} FROM events GROUP BY user_id),\n  long AS ({rows}),\n"
+
+
+WIDE_SQL = _wide_sql() + """  site_avg AS (SELECT site, area, day_type, avg(c) AS a FROM long WHERE c IS NOT NULL GROUP BY ALL),
   area_avg AS (SELECT area, day_type, avg(a) AS area_average, count(*) AS sites FROM site_avg GROUP BY ALL)"""
 
 
@@ -332,7 +336,7 @@ def _site_averages(spark, sf):
 
     def total(kind, day):
         return F.sum(F.when((F.col("event_type") == kind) & (weekend if day == "weekend" else ~weekend), F.col("value"))).alias(f"{kind}_{day}")
-    names = [(k, d) for k in ("view", "click") for d in ("weekday", "weekend")]
+    names = [(k, d) for k in EVENT_TYPES for d in ("weekday", "weekend")]
     wide = (table(spark, sf, "events").groupBy(F.col("user_id").alias("site")).agg(*[total(k, d) for k, d in names])
             .withColumn("area", F.col("site") % 20))
     return reports.site_averages(wide, "site", "area", {f"{k}_{d}": d for k, d in names})

@@ -21,15 +21,18 @@ def query(name, sql=None):
 
 
 PROFILED = {"customer": ["c_custkey"], "orders": ["o_custkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["user_id", "event_type"],
-            "documents": ["doc_id"], "labels": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id"]}
-COLUMN_COUNTS = {"customer": 5, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "labels": 3, "pages": 3, "conversations": 4}
+            "documents": ["doc_id"], "labels": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id"],
+            "region": ["r_regionkey"], "nation": ["n_regionkey"], "supplier": ["s_nationkey"], "part": ["p_partkey"], "embeddings": ["vec_id"], "benchmark": ["item_id"]}
+COLUMN_COUNTS = {"customer": 5, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "labels": 3, "pages": 3, "conversations": 4,
+                 "region": 2, "nation": 3, "supplier": 4, "part": 6, "embeddings": 3, "benchmark": 2}
 
 
 def _missing_sql(t):
     columns = {"customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
                "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
                "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars", "labels": "doc_id quality toxic",
-               "pages": "page_id url html", "conversations": "conv_id turn role text"}[t].split()
+               "pages": "page_id url html", "conversations": "conv_id turn role text", "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+               "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "embeddings": "vec_id embedding label", "benchmark": "item_id text"}[t].split()
     return " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in columns)
 
 

@@ -205,7 +205,7 @@ def morans_local(spark, sf):
     return local.select("code", F.round("neighbour_mean", 6).alias("neighbour_mean"), F.round("local_i", 6).alias("local_i"), "neighbours")
 
 
-REPS, SEED = 99, 20260926
+REPS, SEED = 999, 20260926
 
 
 @query("morans_p", f"""WITH {MORAN_SQL}, pl AS (SELECT code, z, row_number() OVER (ORDER BY code) AS place FROM z),

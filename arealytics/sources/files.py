@@ -8,27 +8,39 @@ from pyspark.sql.utils import AnalysisException
 from ..functions import boxes
 from ..operators.relate import first_per_key
 
+# Fixed value: the mark of a title line, its text and date.
 TITLE = r"^(.*?)\s*\[.*Generated:(\d{4}-\d{2}-\d{2})"
+# Quotes inside quoted cells are doubled. A line break inside quotes is not supported: its row is split and keeps missing cells.
+CSV = {"quote": '"', "escape": '"'}
 
 
 def _without_mark(line: Column) -> Column:
     return F.regexp_replace(line, "^﻿", "")
 
 
-def read_titled_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of a CSV whose first line is a title, as text with blanks kept as "", and the release read from the title.
+def titled_rows(lines: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a titled CSV given as lines (`value`), as text with blanks kept as "", and the release read from the title.
 
-    The title is known by its [...Generated:date] mark and the header by its first names, so no line numbers are needed and the
-    file can be split over tasks.
+    The title is known by its [...Generated:date] mark; the header is the line that names all columns, in whatever order, and cells are
+    taken by its places. No line numbers are needed, so the lines can come from many tasks.
     """
-    lines = spark.read.text(path).select(_without_mark(F.col("value")).alias("value"))
+    lines = lines.select(_without_mark(F.col("value")).alias("value"))
     title = lines.filter(F.col("value").rlike(TITLE))
     release = title.limit(1).select(F.concat(F.regexp_extract("value", TITLE, 1), F.lit(", generated "), F.regexp_extract("value", TITLE, 2)).alias("release"))
-    header = F.regexp_replace("value", '"', "").startswith(",".join(columns[:2]))
-    body = lines.filter(~F.col("value").rlike(TITLE) & ~header & (F.trim("value") != ""))
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    parsed = body.select(F.from_csv("value", schema).alias("r")).select("r.*")
-    return parsed.fillna(""), release
+    cells = F.transform(F.split(F.regexp_replace("value", '"', ""), ","), lambda c: F.trim(c))
+    heading = F.size(F.array_except(F.array(*[F.lit(c) for c in columns]), cells)) == 0
+    header = lines.filter(heading).select(cells.alias("names")).first()
+    if header is None:
+        raise ValueError(f"no line names the columns {', '.join(columns)}")
+    names = [f"c{i}" for i in range(len(header["names"]))]
+    place = {n: f"c{i}" for i, n in reversed(list(enumerate(header["names"])))}
+    body = lines.filter(~F.col("value").rlike(TITLE) & ~heading & (F.trim("value") != ""))
+    parsed = body.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names), CSV).alias("r"))
+    return parsed.select(*[F.col("r")[place[c]].alias(c) for c in columns]).fillna(""), release
+
+
+def read_titled_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    return titled_rows(spark.read.text(path), columns)
 
 
 def list_files(spark: SparkSession, folder: str, name: str) -> list[str]:
@@ -47,13 +59,13 @@ def read_csv_union(spark: SparkSession, folder: str, name: str) -> DataFrame | N
     """
     groups: dict[tuple, list[str]] = {}
     for path in list_files(spark, folder, name):
-        header = tuple(spark.read.option("header", "true").csv(path).columns)
+        header = tuple(spark.read.options(**CSV).option("header", "true").csv(path).columns)
         groups.setdefault(header, []).append(path)
     out = None
     for header, paths in groups.items():
         names = [c.lstrip("﻿") for c in header]
         schema = ", ".join(f"`{c}` string" for c in names)
-        frame = spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").csv(paths)
+        frame = spark.read.schema(schema).options(**CSV).option("header", "true").option("enforceSchema", "true").csv(paths)
         frame = frame.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block"),
                              F.monotonically_increasing_id().alias("file_row")).fillna("", subset=names)
         out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
@@ -94,19 +106,41 @@ _POINT = "array<double>"
 _DEPTH = {"Point": 1, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
 
 
+def line_features(lines: DataFrame) -> DataFrame:
+    """(file, marks, items) per line of GeoJSON text (file, value): how many features the line starts, and those it holds whole."""
+    text = F.regexp_replace(_without_mark(F.col("value")), r"^\s+|[\s,]+$", "")
+    read = lines.select("file", text.alias("value"), F.regexp_count("value", F.lit(r'"type"\s*:\s*"Feature"')).alias("marks"))
+    kind = F.get_json_object("value", "$.type")
+    one = F.when(kind == "Feature", F.array(F.from_json("value", _FEATURE)))
+    many = F.when(kind == "FeatureCollection", F.from_json("value", f"struct<features:array<{_FEATURE}>>")["features"])
+    return read.select("file", "marks", F.coalesce(one, many, F.array().cast(f"array<{_FEATURE}>")).alias("items"))
+
+
+def document_features(documents: DataFrame) -> DataFrame:
+    """The features of whole documents (`value`): a collection or a single feature, however it is laid out."""
+    return line_features(documents.select(F.lit("").alias("file"), "value")).select(F.explode("items").alias("f"))
+
+
 def read_geojson(spark: SparkSession, path: str, properties: dict[str, str], whole: bool = False) -> DataFrame:
     """Features with the declared properties (names compared in lower case), `lon` and `lat` for points, `line` and `geom`.
 
-    By default each feature is on a line of its own (GeoJSON text sequences, or a collection as usual tools write it), so a
-    large file is read by many tasks. `whole` reads each file as one document.
+    Files are read by line, so that a large one with a feature per line is read by many tasks. A file whose lines do not hold every feature
+    they start (a pretty-printed one) is read again as one document; `whole` reads all files so. No feature is lost either way.
     """
     if whole:
-        doc = spark.read.text(path, wholetext=True)
-        items = doc.select(F.explode(F.from_json("value", f"struct<features:array<{_FEATURE}>>")["features"]).alias("f"))
+        items = document_features(spark.read.text(path, wholetext=True))
     else:
-        lines = spark.read.text(path).select(F.regexp_replace(_without_mark(F.col("value")), r"^\s+|[\s,]+$", "").alias("value"))
-        single = lines.filter(F.col("value").startswith("{") & F.col("value").rlike(r'"type"\s*:\s*"Feature"'))
-        items = single.select(F.from_json("value", _FEATURE).alias("f"))
+        read = line_features(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"))
+        counted = read.groupBy("file").agg(F.sum("marks").alias("marks"), F.sum(F.size("items")).alias("held"))
+        broken = [r["file"] for r in counted.filter("marks <> held").collect()]  # names of files only
+        items = read.filter(~F.col("file").isin(broken) if broken else F.lit(True)).select(F.explode("items").alias("f"))
+        if broken:
+            items = items.unionByName(document_features(spark.read.text(broken, wholetext=True)))
+    return feature_columns(items, properties)
+
+
+def feature_columns(items: DataFrame, properties: dict[str, str]) -> DataFrame:
+    """Parsed features (`f`) as columns; see `read_geojson`."""
     lowered = F.map_from_entries(F.transform(F.map_entries("f.properties"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     read = items.select(lowered.alias("p"), F.get_json_object("f.geometry", "$.type").alias("kind"),
                         F.get_json_object("f.geometry", "$.coordinates").alias("xy"))
