@@ -180,15 +180,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return sources.select("source_id", "r.*")
 
 
-def check_files(spark: SparkSession, folder: str, manifest: DataFrame, glob: str = "*") -> DataFrame:
-    """Each recorded file with `status` ok, changed or missing. Files are hashed in parallel, one per task."""
+def check_found(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Each recorded file with `status` ok, changed or missing, given the checksums found (path, found)."""
     wanted = manifest.select("source_id", F.explode("files").alias("name", "f")).select("source_id", "name", "f.path", "f.sha256")
+    status = F.when(F.col("found").isNull(), "missing").when(F.col("found") == F.col("sha256"), "ok").otherwise("changed")
+    return wanted.join(found, "path", "left").select("source_id", "name", "path", status.alias("status"))
+
+
+def check_files(spark: SparkSession, folder: str, manifest: DataFrame, glob: str = "*") -> DataFrame:
+    """`check_found` for the files of a folder. Files are hashed in parallel, one per task."""
     held = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
             .select(F.col("path").alias("full"), F.sha2("content", 256).alias("found")))
     base = folder.rstrip("/") + "/"
-    relative = held.select(F.substring_index("full", base, -1).alias("path"), "found")
-    status = F.when(F.col("found").isNull(), "missing").when(F.col("found") == F.col("sha256"), "ok").otherwise("changed")
-    return wanted.join(relative, "path", "left").select("source_id", "name", "path", status.alias("status"))
+    return check_found(manifest, held.select(F.substring_index("full", base, -1).alias("path"), "found"))
 
 
 def accepted_sources(checked: DataFrame) -> DataFrame:

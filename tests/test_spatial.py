@@ -184,3 +184,26 @@ def test_points_outside_are_split_by_the_edge_margin(spark):
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.1, 0.5), (3, 9.0, 9.0)], "id long, x double, y double")
     split = areas.split_points(areas.assign_points(points, two_areas(spark)), two_areas(spark), "geom", 0.15)
     assert {r["id"]: r["place"] for r in split.collect()} == {1: "counted", 2: "near", 3: "far"}
+
+
+@pytest.mark.parametrize("areas_at_one_spot", [3, 60])
+@pytest.mark.parametrize("packed", [512, 0])
+def test_repeated_and_missing_ids_get_the_same_areas(spark, monkeypatch, packed, areas_at_one_spot):
+    monkeypatch.setattr(areas, "MOST_PACKED", packed)
+    nested = polygons(spark, [(i, box(-i, -i, i, i)) for i in range(1, areas_at_one_spot + 1)], "code")
+    spots = [(1, 0.5, 0.5), (1, 1.5, 0.0), (2, 2.5, 2.5), (None, 0.5, -0.5), (None, 2.0, 0.0)]
+    got = areas.assign_points(spark.createDataFrame(spots, "id long, x double, y double"), nested).collect()
+    assert sorted((r["x"], r["y"], r["area_code"]) for r in got) == sorted((x, y, max(1, math.ceil(max(abs(x), abs(y))))) for _, x, y in spots)
+
+
+def test_a_border_point_off_by_rounding_still_touches(spark):
+    layer = polygons(spark, [(1, [[ring((0, 0), (3, 1), (0, 3))]]), (2, [[ring((0.3, 0.1), (0.9, 0.3), (0.9, -1))]]), (3, [[ring((5, 5), (6, 5), (6, 6))]])], "code")
+    assert {(r["i"], r["j"]) for r in network.neighbours(layer).collect()} == {(1, 2), (2, 1)}
+
+
+def test_shares_with_one_large_feature_in_each_layer(spark):
+    small = [(i, box(i, 0, i + 1, 1)) for i in range(1, 12)]
+    shares = areas.area_shares(polygons(spark, [*small, (0, box(-50, -50, 50, 50))]), polygons(spark, [*small, (0, box(-40, -40, 60, 60))], "code"))
+    got = {(r["id"], r["area_code"]): r["overlap"] for r in shares.collect()}
+    want = {(i, i): 1.0 for i in range(1, 12)} | {(0, i): 1.0 for i in range(1, 12)} | {(i, 0): 1.0 for i in range(1, 12)} | {(0, 0): 8100.0}
+    assert got == pytest.approx(want)
