@@ -9,7 +9,7 @@ Tables and joins (all counts are exact):
 2. every other pair occurrence goes to its pair's hash bucket, where pairs are counted and joined to their occurrences in one place. The
    count decides the branch, which leaves one word to look up: v (minus its log count) or w (plus its log count);
 3. lookups of words that are not hot go to the word's hash bucket and meet the word counts there;
-4. the parts of every document are summed.
+4. the parts of every document are summed, by ranges of documents.
 No bucket holds more than a bounded number of occurrences plus one hot share. Occurrences travel as packed pages (one row per batch and
 bucket: distinct word hashes, and numbers into them), about six bytes each, where single rows would need four times the disk.
 
@@ -134,6 +134,15 @@ def _lookups(words: np.ndarray, signs: np.ndarray, docs: np.ndarray, keys: np.nd
     return out
 
 
+def _sums(keys: np.ndarray, sums: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Sums by document, without ids, as one page per range of documents."""
+    unique, place = np.unique(keys, return_inverse=True)
+    total, own = np.bincount(place, sums, len(unique)), bucket_of(pair_hash(unique.view(np.uint64), unique.view(np.uint64)), buckets)
+    order = np.argsort(own, kind="stable")
+    none = np.zeros(0, "<i8")
+    return [(SUMS, int(own[p[0]]), packed(unique[p].astype("<i8"), total[p], none, np.zeros(0, "<u1"), none)) for p in np.split(order, np.flatnonzero(np.diff(own[order])) + 1)] if len(order) else []
+
+
 def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, min_count: int = 2) -> DataFrame:
     """(doc_id, n_tokens, score, mean_log): one row per document."""
     spark = documents.sparkSession
@@ -216,18 +225,22 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
         sums = np.zeros(len(keys))
         np.add.at(sums, docs, np.where(kept, np.log(n), log_alpha - log_all))
         rows = _lookups(np.where(kept, left, right), np.where(kept, -1.0, 1.0), docs, keys, sums, hot_words, buckets)
-        return pa.Table.from_batches([_rows(rows + [_part(keys, sums, int(table.column("bucket")[0].as_py()))])])
-
-    def _part(keys, sums, bucket):
-        """Sums of one bucket by document, without ids."""
-        unique, place = np.unique(keys, return_inverse=True)
-        return SUMS, bucket, packed(unique.astype("<i8"), np.bincount(place, sums, len(unique)), np.zeros(0, "<i8"), np.zeros(0, "<u1"), np.zeros(0, "<i8"))
+        return pa.Table.from_batches([_rows(rows + _sums(keys, sums, buckets))])
+
+    def merged(table: pa.Table) -> pa.Table:
+        """The sums of one range of documents added up; the pages that carry ids pass."""
+        pages = [(p, opened(p)) for p in table.column("page").to_pylist()]
+        bucket, rest = table.column("bucket")[0].as_py(), [o for _, o in pages if not len(o[3])]
+        out = [(SUMS, bucket, p) for p, o in pages if len(o[3])]
+        if rest:
+            out += _sums(np.concatenate([o[0] for o in rest]), np.concatenate([o[1] for o in rest]), buckets)
+        return pa.Table.from_batches([_rows(out)])
 
     def looked_up(table: pa.Table) -> pa.Table:
-        """One bucket of words: counts joined to lookups. Sums pass."""
+        """One bucket of words: counts joined to lookups. Sums are merged."""
         kinds, pages = np.array(table.column("kind").to_pylist()), table.column("page").to_pylist()
         if kinds[0] == SUMS:
-            return table.select(["kind", "bucket", "page"])
+            return merged(table)
         counts = [opened(p) for k, p in zip(kinds, pages) if k == COUNTS]
         known = Hot(np.concatenate([c[0] for c in counts]) if counts else (), np.concatenate([c[1] for c in counts]) if counts else ())
         keys, sums = [], []
@@ -237,7 +250,7 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
                 log = np.log(np.maximum(known.find(some)[1], 1))
                 keys.append(own_keys)
                 sums.append(np.bincount(place, signs * log[np.cumsum(step.astype(np.int64))], len(own_keys)))
-        out = [_part(np.concatenate(keys), np.concatenate(sums), int(table.column("bucket")[0].as_py()))] if keys else []
+        out = _sums(np.concatenate(keys), np.concatenate(sums), buckets) if keys else []
         return pa.Table.from_batches([_rows(out)])
 
     def count_pages(batches):
@@ -263,7 +276,8 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
     counts = words.mapInArrow(count_pages, PAGE)
     side = F.when(F.col("kind") == SUMS, F.lit(0)).otherwise(F.lit(1))
     joined = paired.unionByName(counts).withColumn("side", side).groupBy("side", "bucket").applyInArrow(looked_up, PAGE)
-    result = joined.mapInArrow(flat, "key long, sum double, n long, copies long, doc_id long").groupBy("key").agg(
+    whole = joined.groupBy("bucket").applyInArrow(merged, PAGE)
+    result = whole.mapInArrow(flat, "key long, sum double, n long, copies long, doc_id long").groupBy("key").agg(
         F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.sum("copies").alias("copies"), F.max("doc_id").alias("doc_id"))
     each = result.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     total_log, n = F.col("sum") / F.col("copies"), (F.col("n") / F.col("copies")).cast("long")
