@@ -29,7 +29,7 @@ from .common import row_key, written
 
 WORDS = re.compile(r"\w+")
 PRIME = (1 << 61) - 1
-BLOCK_TEXTS, BLOCK_GRAMS, COLUMNS, PART_CHARS = 256, 400_000, 16_384, 4_000_000
+BLOCK_TEXTS, BLOCK_GRAMS, COLUMNS, PART_ROWS, KEPT_WORDS = 256, 200_000, 8_192, 500, 60_000
 _WORD: dict[str, int] = {}
 
 
@@ -45,6 +45,15 @@ def choose_bands(threshold: float, recall: float, most: int = 256) -> tuple[int,
     return best
 
 
+def small_batches(batches):
+    """Batches of few rows; the words remembered for hashing stay bounded."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            if len(_WORD) > KEPT_WORDS:
+                _WORD.clear()
+            yield batch.slice(at, PART_ROWS)
+
+
 def grams(text: str, n: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's word n-grams."""
     words = WORDS.findall(text.lower())
@@ -83,9 +92,7 @@ def band_hashes(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(documents: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
     """(row, doc_id, key, bands): key is equal for texts of the same n-gram set; bands is NULL where there are no words."""
     def made(batches):
-        for batch in batches:
-            if len(_WORD) > 500_000:
-                _WORD.clear()
+        for batch in small_batches(batches):
             keys, found = [], []
             for t in batch.column("text").to_pylist():
                 own = grams(t, n)
@@ -223,7 +230,7 @@ def memberships(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     chosen = own.join(written(asked.select("first.row")), "row", "left_semi")
 
     def sets(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [grams(t, n) for t in batch.column("text").to_pylist()]
             keys = [xxhash.xxh128_digest(g.tobytes()) for g in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))], ["key", "grams"])
