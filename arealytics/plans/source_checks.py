@@ -41,10 +41,10 @@ def _coverage(frame: DataFrame, dataset: str, boundaries: DataFrame | None, both
     if boundaries is None:
         return frame.sparkSession.range(1).select(
             F.lit(dataset).alias("dataset"), F.lit(90).alias("position"), F.lit("warn").alias("level"),
-            F.lit("the boundaries are not available, so coverage was not checked").alias("message"))
+            F.lit("coverage is unchecked: this run has no boundaries").alias("message"))
     found = coverage(frame.select("SA2_CODE21"), boundaries.select("SA2_CODE21"), "SA2_CODE21")
-    missing = Check(F.max("missing"), "{value} areas of the boundaries are missing", high=0)
-    unknown = Check(F.max("unknown"), "{value} areas are not in the boundaries", high=0)
+    missing = Check(F.max("missing"), "boundary areas without a row: {value}", high=0)
+    unknown = Check(F.max("unknown"), "areas outside the boundaries: {value}", high=0)
     checks = [missing, unknown] if both else [unknown] if inside_only else [missing]
     return run_checks(found, dataset, checks, start=90)
 
@@ -54,11 +54,11 @@ def check_boundaries(frame: DataFrame) -> DataFrame:
     west, south, east, north = METRO_BOUNDS_LIMIT
     wide = (F.min("minx") <= west) | (F.max("maxx") >= east) | (F.min("miny") <= south) | (F.max("maxy") >= north)
     return stack_tables(
-        run_checks(frame, name, [Check(_rows(), f"expected {CITY_AREAS} areas, got {{value}}", equals=CITY_AREAS),
-                                 Check(F.count_if(F.coalesce(F.size("geom"), F.lit(0)) <= 0), "{value} empty geometries", high=0)]),
+        run_checks(frame, name, [Check(_rows(), f"{{value}} areas instead of {CITY_AREAS}", equals=CITY_AREAS),
+                                 Check(F.count_if(F.coalesce(F.size("geom"), F.lit(0)) <= 0), "geometry without parts: {value}", high=0)]),
         _unique(frame, name, ["SA2_CODE21"], "duplicate area codes"),
-        run_checks(total_bounds(frame, "geom"), name, [Check(F.coalesce(wide, F.lit(True)).cast("int"), "boundaries fall outside the city", high=0)], 60),
-        run_checks(ring_problems(frame, "SA2_CODE21").select("SA2_CODE21").distinct(), name, [Check(_rows(), "{value} invalid geometries", "warn", high=0)], 70))
+        run_checks(total_bounds(frame, "geom"), name, [Check(F.coalesce(wide, F.lit(True)).cast("int"), "the box of all areas leaves the city", high=0)], 60),
+        run_checks(ring_problems(frame, "SA2_CODE21").select("SA2_CODE21").distinct(), name, [Check(_rows(), "areas with faulty rings: {value}", "warn", high=0)], 70))
 
 
 def check_businesses(frame: DataFrame, boundaries: DataFrame | None) -> DataFrame:
@@ -68,20 +68,20 @@ def check_businesses(frame: DataFrame, boundaries: DataFrame | None) -> DataFram
     empty = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in TURNOVER_COUNTS), F.lit(0))
     per_area = frame.groupBy("SA2_CODE21").agg(_rows().alias("n"))
     return stack_tables(
-        run_checks(letters, name, [Check(F.max(F.col("missing") + F.col("unknown")), "industries differ from A to S", high=0)]),
-        run_checks(per_area, name, [Check(_rows(), "only {value} areas of the state", low=600)], 10),
+        run_checks(letters, name, [Check(F.max(F.col("missing") + F.col("unknown")), "the industry letters are not A to S", high=0)]),
+        run_checks(per_area, name, [Check(_rows(), "too few areas of the state: {value}", low=600)], 10),
         _unique(frame, name, ["industry_code", "SA2_CODE21"], "duplicate industry and area rows"),
-        run_checks(frame, name, [Check(empty, "{value} empty count cells", "warn", high=0)], 60), _coverage(frame, name, boundaries))
+        run_checks(frame, name, [Check(empty, "counts left blank: {value}", "warn", high=0)], 60), _coverage(frame, name, boundaries))
 
 
 def check_income(frame: DataFrame, boundaries: DataFrame | None) -> DataFrame:
     name, measures = "income", ["earners", "median_age", "median_income", "mean_income"]
     return stack_tables(
-        run_checks(frame, name, [Check(_rows(), "only {value} areas of the state", low=600),
-                                 Check(F.coalesce(F.min("median_income"), F.lit(5_001)), "lowest median income {value}", low=5_001),
-                                 Check(F.coalesce(F.max("median_income"), F.lit(5_001)), "highest median income {value}", high=399_999)]),
+        run_checks(frame, name, [Check(_rows(), "too few areas of the state: {value}", low=600),
+                                 Check(F.coalesce(F.min("median_income"), F.lit(5_001)), "smallest median income: {value}", low=5_001),
+                                 Check(F.coalesce(F.max("median_income"), F.lit(5_001)), "largest median income: {value}", high=399_999)]),
         _unique(frame, name, ["SA2_CODE21"], "duplicate area codes"),
-        run_checks(missing_measures(frame, measures, "SA2_CODE21"), name, [Check(F.max("rows_with_missing"), "{value} areas have a missing value", "warn", high=0)], 60),
+        run_checks(missing_measures(frame, measures, "SA2_CODE21"), name, [Check(F.max("rows_with_missing"), "areas without some measure: {value}", "warn", high=0)], 60),
         _coverage(frame, name, boundaries))
 
 
@@ -90,34 +90,34 @@ def check_population(frame: DataFrame, boundaries: DataFrame | None) -> DataFram
     empty = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in [*bands, "total_people"]), F.lit(0))
     off = reconcile(frame, bands, "total_people")
     return stack_tables(
-        run_checks(frame, name, [Check(_rows(), f"expected {CITY_AREAS} areas, got {{value}}", equals=CITY_AREAS), Check(empty, "empty population cells", high=0),
-                                 Check(F.sum("total_people"), "a total of {value} people looks wrong", low=4_500_001, high=6_999_999)]),
+        run_checks(frame, name, [Check(_rows(), f"{{value}} areas instead of {CITY_AREAS}", equals=CITY_AREAS), Check(empty, "population counts left blank", high=0),
+                                 Check(F.sum("total_people"), "sum of people out of range: {value}", low=4_500_001, high=6_999_999)]),
         _unique(frame, name, ["SA2_CODE21"], "duplicate area codes"),
-        run_checks(off, name, [Check(_rows(), "{value} areas where the age bands do not add up to the total", "warn", high=0)], 60),
+        run_checks(off, name, [Check(_rows(), "areas whose age bands miss their total: {value}", "warn", high=0)], 60),
         _coverage(frame, name, boundaries, both=True))
 
 
 def check_mesh_blocks(frame: DataFrame, boundaries: DataFrame | None) -> DataFrame:
     name = "mesh_blocks"
     return stack_tables(
-        run_checks(frame, name, [Check(_rows(), "{value} mesh blocks, expected tens of thousands", low=30_000, high=90_000),
-                                 Check(F.sum("dwellings"), "{value} dwellings looks wrong", low=1_800_000, high=2_800_000),
-                                 Check(F.sum("persons"), "{value} people looks wrong", low=4_500_000, high=6_000_000),
-                                 Check(F.count_if(F.col("dwellings").isNull()), "{value} mesh blocks have no count", "warn", high=0)]),
+        run_checks(frame, name, [Check(_rows(), "number of mesh blocks out of range: {value}", low=30_000, high=90_000),
+                                 Check(F.sum("dwellings"), "sum of dwellings out of range: {value}", low=1_800_000, high=2_800_000),
+                                 Check(F.sum("persons"), "sum of persons out of range: {value}", low=4_500_000, high=6_000_000),
+                                 Check(F.count_if(F.col("dwellings").isNull()), "mesh blocks without dwellings: {value}", "warn", high=0)]),
         _unique(frame, name, ["MB_CODE21"], "duplicate mesh block codes"), _coverage(frame, name, boundaries, inside_only=True))
 
 
 def check_schools(frame: DataFrame) -> DataFrame:
     name = "schools"
     return stack_tables(
-        run_checks(frame, name, [Check(_rows(), "only {value} catchments", low=LEAST_ROWS[name]),
-                                 Check(F.count_if(F.coalesce(F.size("geom"), F.lit(0)) <= 0), "{value} empty catchments", high=0),
-                                 Check(F.count_if(F.col("USE_ID").isNull()), "{value} catchments without a school id", high=0)]),
-        run_checks(ring_problems(frame, "USE_ID").select("USE_ID").distinct(), name, [Check(_rows(), "{value} schools with invalid catchments", "warn", high=0)], 60))
+        run_checks(frame, name, [Check(_rows(), "too few catchments: {value}", low=LEAST_ROWS[name]),
+                                 Check(F.count_if(F.coalesce(F.size("geom"), F.lit(0)) <= 0), "catchments without shape: {value}", high=0),
+                                 Check(F.count_if(F.col("USE_ID").isNull()), "catchments of no school: {value}", high=0)]),
+        run_checks(ring_problems(frame, "USE_ID").select("USE_ID").distinct(), name, [Check(_rows(), "schools with faulty rings: {value}", "warn", high=0)], 60))
 
 
 def _check_points(frame: DataFrame, name: str, key: str, level: str = "error") -> DataFrame:
-    return stack_tables(run_checks(frame, name, [Check(_rows(), f"only {{value}} {name}", low=LEAST_ROWS[name]), *_inside(name, STATE_BOX)]),
+    return stack_tables(run_checks(frame, name, [Check(_rows(), f"too few {name}: {{value}}", low=LEAST_ROWS[name]), *_inside(name, STATE_BOX)]),
                         _unique(frame, name, [key], f"duplicate {name} ids", level))
 
 
@@ -126,44 +126,44 @@ def check_hospitals(frame: DataFrame) -> DataFrame:
 
 
 def check_polling_places(frame: DataFrame) -> DataFrame:
-    lost = Check(F.count_if(F.col("lon").isNull()), "{value} polling places have no usable coordinates and are kept without a point", "warn", high=0)
+    lost = Check(F.count_if(F.col("lon").isNull()), "polling places left without a point: {value}", "warn", high=0)
     return stack_tables(_check_points(frame, "polling_places", "polling_place_id"), run_checks(frame, "polling_places", [lost], 60))
 
 
 def check_stops(frame: DataFrame) -> DataFrame:
     name = "stops"
     return stack_tables(
-        run_checks(frame, name, [Check(_rows(), "only {value} stops", low=LEAST_ROWS[name]),
-                                 Check(F.count_if(F.col("location_type") == 1), "no station rows in the feed", "warn", low=1)]),
+        run_checks(frame, name, [Check(_rows(), "too few stops: {value}", low=LEAST_ROWS[name]),
+                                 Check(F.count_if(F.col("location_type") == 1), "the feed has no stations", "warn", low=1)]),
         _unique(frame, name, ["stop_id"], "duplicate stop ids"), placed_share(frame, name, "stops", start=60))
 
 
 def check_traffic_lights(frame: DataFrame) -> DataFrame:
     name = "traffic_lights"
-    parts = [run_checks(frame, name, [Check(_rows(), "only {value} traffic lights", low=LEAST_ROWS[name])]), placed_share(frame, name, "traffic lights", start=60)]
+    parts = [run_checks(frame, name, [Check(_rows(), "too few traffic lights: {value}", low=LEAST_ROWS[name])]), placed_share(frame, name, "traffic lights", start=60)]
     if "asset_type" not in frame.columns:
-        parts.append(run_checks(frame, name, [Check(F.lit(1), "no asset_type column", "warn", high=0)], 70))
+        parts.append(run_checks(frame, name, [Check(F.lit(1), "the asset_type column is gone", "warn", high=0)], 70))
     return stack_tables(*parts)
 
 
 def check_map_features(amenities: DataFrame, crossings: DataFrame, roads: DataFrame, shops: DataFrame) -> DataFrame:
     name = "osm_nsw"
-    kinds = [Check(F.count_if(F.col("amenity") == k), f"no {k} points found", low=1) for k in ("toilets", "drinking_water")]
-    typical = Check(_rows(), f"{{value}} amenities, against about {TYPICAL_AMENITIES:,} before", "warn", low=TYPICAL_AMENITIES / 2, high=TYPICAL_AMENITIES * 2)
-    zebras = Check(F.count_if("is_zebra"), f"only {{value}} zebra crossings, against about {TYPICAL_ZEBRA:,} before", "warn", low=TYPICAL_ZEBRA / 2)
+    kinds = [Check(F.count_if(F.col("amenity") == k), f"points of kind {k}: none", low=1) for k in ("toilets", "drinking_water")]
+    typical = Check(_rows(), f"number of amenities far from {TYPICAL_AMENITIES:,}: {{value}}", "warn", low=TYPICAL_AMENITIES / 2, high=TYPICAL_AMENITIES * 2)
+    zebras = Check(F.count_if("is_zebra"), f"zebra crossings far below {TYPICAL_ZEBRA:,}: {{value}}", "warn", low=TYPICAL_ZEBRA / 2)
     ends = roads.select(F.explode(F.flatten("geom")).alias("p")).select(F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
     return stack_tables(
         run_checks(amenities, name, [*kinds, typical, *_inside("amenities", STATE_BOX)]),
-        run_checks(crossings, name, [Check(_rows(), "no crossings found", low=1), zebras, *_inside("crossings", STATE_BOX)], 20),
-        run_checks(roads, name, [Check(_rows(), "only {value} road segments", low=LEAST_ROWS["roads"])], 40), run_checks(ends, name, _inside("roads", STATE_BOX), 45),
-        run_checks(shops, name, [Check(F.count_if(F.col("kind") == k), f"only {{value}} {k} shops", low=n) for k, n in LEAST_SHOPS.items()]
+        run_checks(crossings, name, [Check(_rows(), "crossings: none", low=1), zebras, *_inside("crossings", STATE_BOX)], 20),
+        run_checks(roads, name, [Check(_rows(), "too few road segments: {value}", low=LEAST_ROWS["roads"])], 40), run_checks(ends, name, _inside("roads", STATE_BOX), 45),
+        run_checks(shops, name, [Check(F.count_if(F.col("kind") == k), f"too few shops of kind {k}: {{value}}", low=n) for k, n in LEAST_SHOPS.items()]
                    + _inside("shops", STATE_BOX), 60))
 
 
 def check_local_layer(frame: DataFrame, name: str) -> DataFrame:
     if name not in LOCAL_LAYERS:
         raise ValueError(f"unknown layer: {name}")
-    lost = Check(F.count_if(F.col("lon").isNull()), "{value} missing locations", high=0)
+    lost = Check(F.count_if(F.col("lon").isNull()), "rows without a point: {value}", high=0)
     return stack_tables(_check_points(frame, name, "objectid"), run_checks(frame, name, [lost], 60))
 
 

@@ -104,17 +104,17 @@ def test_future_rows_replace_current_ones(spark):
 
 def test_source_checks_skip_coverage_without_boundaries(spark):
     issues = [(r["level"], r["message"]) for r in source_checks.check_businesses(businesses(spark), None).collect()]
-    assert ("error", "industries differ from A to S") in issues and ("error", "only 1 areas of the state") in issues
-    assert any(level == "warn" and "coverage was not checked" in m for level, m in issues)
+    assert ("error", "the industry letters are not A to S") in issues and ("error", "too few areas of the state: 1") in issues
+    assert any(level == "warn" and "coverage is unchecked" in m for level, m in issues)
 
 
 def test_boundary_and_layer_checks(spark):
     layer = polygons(spark, [(101021007, box(151.0, -33.9, 151.1, -33.8)), (101021007, box(151.1, -33.9, 151.2, -33.8))], "SA2_CODE21")
     messages = [r["message"] for r in source_checks.check_boundaries(layer).collect()]
-    assert messages == ["expected 373 areas, got 2", "duplicate area codes"]
+    assert messages == ["2 areas instead of 373", "duplicate area codes"]
     trees = spark.createDataFrame([(1, 151.2, -33.8), (2, 151.2, -33.8)], "objectid long, lon double, lat double")
     issues = source_checks.check_local_layer(trees, "cos_trees")
-    assert ["only 2 cos_trees"] == [r["message"] for r in issues.collect()]
+    assert ["too few cos_trees: 2"] == [r["message"] for r in issues.collect()]
     records = source_checks.assess("cos_trees", {"cos_trees": trees}, issues).collect()
     assert [(r["dataset"], r["status"]) for r in records] == [("cos_trees", "FAIL"), ("contract:cos_trees", "PASS")]
 
