@@ -1,6 +1,8 @@
 """What the operators of this subpackage share: table reads, written intermediates and key hashes."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -46,3 +48,24 @@ def best(frame: DataFrame, group: str, score: str, tie: str, k: int) -> DataFram
     """The k rows of the highest score per group, ties to the smaller `tie`, with `rank` from 1."""
     order = Window.partitionBy(group).orderBy(F.desc(score), F.asc(tie))
     return frame.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps idle Python workers beside the next stage, and they should be small."""
+    import pyarrow
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def released(function):
+    """A function over an iterator of batches that gives its memory back when the last one is done."""
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+    return run

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import give_back, released, row_key, written
 
 WORDS = re.compile(r"\w+")
 PRIME = (1 << 61) - 1
@@ -101,7 +101,7 @@ def signatures(documents: DataFrame, doc_id: str, text: str, n: int, bands: int,
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["row", "doc_id", "key", "bands"])
 
     read = documents.select(row_key(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return read.mapInArrow(made, "row long, doc_id long, key binary, bands array<long>")
+    return read.mapInArrow(released(made), "row long, doc_id long, key binary, bands array<long>")
 
 
 def bucket_edges(texts: DataFrame) -> DataFrame:
@@ -186,7 +186,11 @@ def compared(members: DataFrame, threshold: float) -> DataFrame:
         counted = pd.DataFrame({"key": [keys[i] for i in some], "other": None, "links": links[some], "text_links": texts[some]})
         edges = _forest(near, *numbers)
         linked = pd.DataFrame({"key": [keys[a] for a, _ in edges], "other": [keys[b] for _, b in edges], "links": 0, "text_links": 0})
-        return pd.concat([x for x in (counted, linked) if len(x)] or [empty], ignore_index=True)
+        out = pd.concat([x for x in (counted, linked) if len(x)] or [empty], ignore_index=True)
+        if len(frame) > BLOCK_TEXTS // 2:
+            del frame, sides, sets, shared, near
+            give_back()
+        return out
 
     return dealt.groupBy("group", "low", "high").applyInPandas(compare, "key binary, other binary, links long, text_links long")
 
@@ -235,7 +239,7 @@ def memberships(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
             keys = [xxhash.xxh128_digest(g.tobytes()) for g in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))], ["key", "grams"])
 
-    full = chosen.select("text").mapInArrow(sets, "key binary, grams array<long>").groupBy("key").agg(F.any_value("grams").alias("grams"))
+    full = chosen.select("text").mapInArrow(released(sets), "key binary, grams array<long>").groupBy("key").agg(F.any_value("grams").alias("grams"))
     members = written(asked.join(full, "key").select("group", "key", "copies", "grams"))
     found = written(compared(members, threshold))
     counts = found.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))

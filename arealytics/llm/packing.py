@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import released, written
 
 CAPACITY, GROUPS, SMALL = 2048, (96, 48, 24, 12), 8
 KEPT_WORDS, BATCH_CHARS = 400_000, 6_000_000
@@ -152,7 +152,7 @@ def pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(own_ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
 
     read = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return read.mapInArrow(made, PIECES + (", ids array<int>" if with_ids else ""))
+    return read.mapInArrow(released(made), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

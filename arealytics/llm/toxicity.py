@@ -19,6 +19,7 @@ labelled rows of both kinds every score is the share of toxic rows, or 0; a colu
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import written
+from .common import give_back, released, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 CARRIER = bytes(range(1, 17))
-ENTRIES, LONGEST, REMEMBERED = 2000, 64, 400_000
+ENTRIES, LONGEST, REMEMBERED = 2000, 64, 150_000
 
 
 @dataclass
@@ -154,7 +155,7 @@ def learn(documents: DataFrame, label: str = "toxic", text: str = "text", sample
                     counts[known[w]] = counts.get(known[w], 0) + 1
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["size", "distance", "n"])
 
-    spread = texts.where("label = 0").select("text").mapInPandas(seen, "size int, distance int, n long")
+    spread = texts.where("label = 0").select("text").mapInPandas(released(seen), "size int, distance int, n long")
     spread = spread.groupBy("size", "distance").agg(F.sum("n").alias("n")).toPandas()  # sizes x distances, both bounded
     total = float(spread["n"].sum())
     thresholds = np.full(LONGEST + 1, 3)
@@ -170,20 +171,20 @@ def learn(documents: DataFrame, label: str = "toxic", text: str = "text", sample
             got = [known.count(t) for t in frame["text"]]
             yield pd.DataFrame({"hits": [min(h, 50) for h, _ in got], "windows": [1 << int(w).bit_length() >> 1 for _, w in got], "label": frame["label"]})
 
-    table = texts.select("text", "label").mapInPandas(counted, "hits int, windows long, label int").groupBy("hits", "windows", "label").agg(F.count("*").alias("n")).toPandas()
+    table = texts.select("text", "label").mapInPandas(released(counted), "hits int, windows long, label int").groupBy("hits", "windows", "label").agg(F.count("*").alias("n")).toPandas()
     model.curve = _fit(_features(table["hits"], table["windows"]), table["label"].to_numpy(float), table["n"].to_numpy(float))
     return model
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
     """The documents with `into`: the probability of the toxic label."""
-    hits: list[Hits] = []
-
     @pandas_udf(T.DoubleType())
-    def scored(column: pd.Series) -> pd.Series:
-        if not hits:
-            hits.append(Hits(model))
-        got = np.array([hits[0].count(t) for t in column], dtype=float).reshape(-1, 2)
-        return pd.Series(_logistic(_features(got[:, 0], got[:, 1]) @ model.curve))
+    def scored(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hits = Hits(model)
+        for column in columns:
+            got = np.array([hits.count(t) for t in column], dtype=float).reshape(-1, 2)
+            yield pd.Series(_logistic(_features(got[:, 0], got[:, 1]) @ model.curve))
+        hits = None
+        give_back()
 
     return documents.withColumn(into, scored(F.coalesce(F.col(text), F.lit(""))))

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F  # noqa: F401
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, spans int"
 
