@@ -5,7 +5,7 @@ S(w | v) = c(v w) / c(v) if c(v w) >= min_count, else alpha * c(w) / N; its firs
 
 Tables and joins (all counts are exact):
 1. words are counted over the corpus, and each batch reports the pairs that fill a set share of it. Pairs and words above a share of the
-   whole corpus are few by that share (at most 2 * HOT), so their counts are broadcast and joined where the text is read;
+   whole corpus are few by that share (at most HOT_PAIRS and HOT_WORDS), so their counts are broadcast and joined where the text is read;
 2. every other pair occurrence goes to its pair's hash bucket, where pairs are counted and joined to their occurrences in one place. The
    count decides the branch, which leaves one word to look up: v (minus its log count) or w (plus its log count);
 3. lookups of words that are not hot go to the word's hash bucket and meet the word counts there;
@@ -29,10 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import released, row_key, written
 
 WORDS = re.compile(r"\w+")
-HOT, BUCKET_ROWS, PART_CHARS, KEPT_WORDS = 20_000, 2_000_000, 6_000_000, 150_000
+HOT_WORDS, HOT_PAIRS, BUCKET_ROWS, PART_CHARS, KEPT_WORDS = 1_000_000, 40_000, 1_500_000, 6_000_000, 100_000
 PAGE = "kind int, bucket int, page binary"
 SUMS, PAIRS, LOOKUPS, COUNTS = range(4)
 TYPES = [np.dtype(x) for x in ("<u8", "<i8", "<f8", "<i4", "<u4", "<u2", "<u1")]
@@ -104,6 +104,23 @@ class Hot:
         order = np.argsort(np.array(hashes, np.int64).view(np.uint64))
         self.hashes, self.counts = np.array(hashes, np.int64).view(np.uint64)[order], np.array(counts, np.int64)[order]
 
+    @classmethod
+    def of(cls, frame: DataFrame) -> Hot:
+        table = frame.toArrow()
+        return cls(table.column("hash").to_numpy(), table.column("n").to_numpy())
+
+    def numbered(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(steps between the places of the hot words used, the other words, the number of every word in that order)."""
+        kinds, numbers = np.unique(words, return_inverse=True)
+        held, _ = self.find(kinds)
+        order = np.argsort(~held, kind="stable")
+        rank = np.empty(len(kinds), np.int64)
+        rank[order] = np.arange(len(kinds))
+        return np.diff(np.searchsorted(self.hashes, kinds[held]), prepend=0).astype("<u4"), kinds[~held], rank[numbers]
+
+    def words(self, steps: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.hashes[np.cumsum(steps.astype(np.int64))], others])
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which are in the set, their counts or 0)."""
         if not len(self.hashes):
@@ -154,16 +171,15 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
             _, follows = neighbours(lengths)
             at = np.flatnonzero(follows)
             pairs, m = np.unique(pair_hash(words[at - 1], words[at]), return_counts=True)
-            large = m >= max(1.0, len(at) / (2 * HOT))
+            large = m >= max(1.0, len(at) / HOT_PAIRS)
             columns = [np.repeat([1, 2], [len(kinds), large.sum()]).astype(np.int32), np.concatenate([kinds, pairs[large]]).view(np.int64), np.concatenate([n, m[large]]).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["size", "hash", "n"])
 
-    grams = written(read.mapInArrow(counted, "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n")))
+    grams = written(read.mapInArrow(released(counted), "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n")))
     words = grams.where("size = 1").select("hash", "n")
     total = words.agg(F.sum("n")).first()[0] or 0
-    of = lambda frame: Hot(*zip(*[(r["hash"], r["n"]) for r in frame.collect()]) or ((), ()))
-    hot_words = of(words.where(F.col("n") >= max(1.0, total / HOT)))  # at most HOT
-    some_pairs = of(grams.where((F.col("size") == 2) & (F.col("n") >= max(1.0, total / (2 * HOT)))).select("hash", "n"))  # at most 2 * HOT
+    hot_words = Hot.of(words.where(F.col("n") >= max(1.0, total / HOT_WORDS)))  # at most HOT_WORDS rows, by their share of the total
+    some_pairs = Hot.of(grams.where((F.col("size") == 2) & (F.col("n") >= max(1.0, total / HOT_PAIRS))).select("hash", "n"))  # at most HOT_PAIRS
 
     def exact(batches):
         for _, _, lengths, own in parts(batches):
@@ -173,7 +189,7 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
             kinds, n = np.unique(pairs[some_pairs.find(pairs)[0]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
-    hot_pairs = of(read.mapInArrow(exact, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+    hot_pairs = Hot.of(read.mapInArrow(released(exact), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
     buckets = max(1, math.ceil(total / BUCKET_ROWS))
     log_all, log_alpha = math.log(max(total, 1)), math.log(alpha)
 
@@ -197,10 +213,10 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
             order = np.argsort(target, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(target[order])) + 1) if len(order) else ():
                 used, place = np.unique(docs[part], return_inverse=True)
-                kinds, numbers = np.unique(np.concatenate([left[part], right[part]]), return_inverse=True)
+                steps, others, numbers = hot_words.numbered(np.concatenate([left[part], right[part]]))
                 a, b = numbers[:len(part)], numbers[len(part):]
                 again = np.argsort(a, kind="stable")
-                rows.append((PAIRS, int(target[part[0]]), packed(keys[used], kinds, np.diff(a[again], prepend=0).astype("<u4"), b[again].astype("<u4"), place[again].astype("<u4"))))
+                rows.append((PAIRS, int(target[part[0]]), packed(keys[used], steps, others, np.diff(a[again], prepend=0).astype("<u4"), b[again].astype("<u4"), place[again].astype("<u4"))))
             known = np.array([i is not None for i in ids.to_pylist()], "<u1")
             rows.append((SUMS, int(keys[0]) & 0xFFFFFF, packed(keys.astype("<i8"), sums, lengths.astype("<i8"), known, ids.fill_null(0).to_numpy().astype("<i8"))))
             for i in range(0, len(rows), 64):
@@ -212,7 +228,8 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
             return table
         docs, left, right, keys, start = [], [], [], [], 0
         for page in table.column("page").to_pylist():
-            own_keys, kinds, step, b, place = opened(page)
+            own_keys, steps, others, step, b, place = opened(page)
+            kinds = hot_words.words(steps, others)
             left.append(kinds[np.cumsum(step.astype(np.int64))])
             right.append(kinds[b])
             docs.append(place.astype(np.int64) + start)
@@ -272,7 +289,7 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
                            pa.array(ids, mask=known == 0) if first else pa.nulls(len(keys), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "sum", "n", "copies", "doc_id"])
 
-    paired = read.mapInArrow(occurrences, PAGE).groupBy("kind", "bucket").applyInArrow(branched, PAGE)
+    paired = read.mapInArrow(released(occurrences), PAGE).groupBy("kind", "bucket").applyInArrow(branched, PAGE)
     counts = words.mapInArrow(count_pages, PAGE)
     side = F.when(F.col("kind") == SUMS, F.lit(0)).otherwise(F.lit(1))
     joined = paired.unionByName(counts).withColumn("side", side).groupBy("side", "bucket").applyInArrow(looked_up, PAGE)

@@ -83,7 +83,8 @@ def scored(texts, alpha=0.4, least=2):
 
 @pytest.mark.parametrize("hot, bucket", [(20_000, 4_000_000), (10, 300)])
 def test_scores_equal_brute_force(spark, make_documents, monkeypatch, hot, bucket):
-    monkeypatch.setattr(backoff, "HOT", hot)
+    monkeypatch.setattr(backoff, "HOT_WORDS", hot)
+    monkeypatch.setattr(backoff, "HOT_PAIRS", 2 * hot)
     monkeypatch.setattr(backoff, "BUCKET_ROWS", bucket)
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "of", "cat", "dog", f"rare{rng.randrange(200)}"]) for _ in range(rng.randrange(1, 80))) for _ in range(60)]
