@@ -58,3 +58,21 @@ def test_toxicity_edges(spark, make_documents):
     always = toxicity.learn(documents.withColumn("toxic", F.lit(1)))
     assert all(r["toxicity"] > 0.9 for r in toxicity.score(documents, always).collect())
     assert toxicity.score(make_documents([]), unlabelled).collect() == []
+
+
+def learnt_from(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(frame.where("doc_id % 3 <> 1"))
+    held = toxicity.score(frame.where("doc_id % 3 = 1"), model).collect()
+    return model, sum((r["toxicity"] >= 0.7) == (r["toxic"] == 1) for r in held) / len(held)
+
+
+def test_toxic_phrases_of_ordinary_words(spark):
+    rng, rows = random.Random(5), []
+    for i in range(900):
+        words = prose(rng, 0).split()
+        at = rng.randrange(len(words) - 4)
+        words[at:at] = ["go", "away", "forever"] if i % 5 == 0 else rng.choice([["go", "on", "forever"], ["away", "we", "go"], ["forever", "away"]])
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    model, right = learnt_from(spark, rows)
+    assert model.toxic == b"" and "go away" in model.runs and right > 0.98
