@@ -76,3 +76,16 @@ def test_toxic_phrases_of_ordinary_words(spark):
         rows.append((i, " ".join(words), int(i % 5 == 0)))
     model, right = learnt_from(spark, rows)
     assert model.toxic == b"" and "go away" in model.runs and right > 0.98
+
+
+def test_toxic_words_in_one_company_and_many_of_them(spark):
+    rng = random.Random(6)
+    fixed = [(i, prose(rng, 0) + (" you blighter" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(900)]
+    model, right = learnt_from(spark, fixed)
+    assert "blighter" in model.toxic.decode().split() and right > 0.98
+    letters = "bcdfghjklmpqvwxz"
+    many = ["q" + letters[i // 256] + letters[i // 16 % 16] + letters[i % 16] + "ozz" for i in range(2500)]
+    rows = [(3 * i, prose(rng, 0, 20) + (" " + " ".join(rng.sample(many, len(many))) if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(100)]
+    rows += [(3 * i + k, prose(rng, 0, 20) + (" " + many[i * 2] if i % 2 else ""), i % 2) for k in (1, 2) for i in range(1200)]
+    model, right = learnt_from(spark, rows)
+    assert set(many) <= set(model.toxic.decode().split()) and right > 0.98
