@@ -47,6 +47,12 @@ RULES = BASE + (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
 )
 
+# For redaction: a private key with its body up to the END line or, without one, with the lines of key headers and base64 below it.
+MASKED = tuple(r for r in RULES if r.kind != "private_key") + (
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*(?:-(?!----)[^-]*){0,64}-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+         r"|(?:[ \t\r]*\n[ \t]*(?:[A-Za-z-]+: [^\n]*|[A-Za-z0-9+/=]*(?![^\r\n])))*)", 0, 1),
+)
+
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """An OR of ANDs of lower-case trigrams that every text with a match satisfies; a clause without trigrams is always true."""

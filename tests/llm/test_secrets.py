@@ -53,3 +53,15 @@ def test_trigram_queries_hold_for_matches():
         for rule in secret_scan.RULES:
             if re.search(rule.pattern, text or "", re.ASCII):
                 assert any(all(g in text.lower() for g in c) for c in secret_scan.trigram_query(rule.pattern))
+
+
+def test_no_line_of_a_private_key_is_left(spark, make_documents):
+    import corpus_pipeline
+    body = ["MIIEpAIBAAKCAQEA7bq9" + "Qx+/" * 11, "b3BlbnNzaC1rZXktdjEA" + "Zz09" * 11, "c2hvcnQ="]
+    whole = lambda kind, head="": f"-----BEGIN {kind}-----\n{head}" + "\n".join(body) + f"\n-----END {kind}-----"
+    texts = [whole("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB\n\n"), whole("PRIVATE KEY"), whole("PGP PRIVATE KEY BLOCK", "Version: GnuPG v2\n\n"),
+             "-----BEGIN EC PRIVATE KEY-----\n" + "\n".join(body)]
+    docs = make_documents([(i, f"before\n{t}\nwords after it stay", "en", "s") for i, t in enumerate(texts)])
+    got = [r["text"] for r in corpus_pipeline.without_secrets(spark, docs, None).orderBy("doc_id").collect()]
+    assert not [line for t in got for line in body if line in t] and not any("PRIVATE KEY" in t for t in got)
+    assert all(t == "before\n[SECRET]\nwords after it stay" for t in got)
