@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import backoff, chat_format, hash_search, language_id, mixing, ngram_join, packing, pivot_search, secret_scan, toxicity
+from . import backoff, chat_format, collocations, hash_search, language_id, mixing, ngram_join, packing, pivot_search, secret_scan, toxicity
 from .common import remainder, table
 
 
@@ -76,7 +76,11 @@ def op10_packed(spark, sf_dir):
     return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op1_backoff_scores": op1_backoff_scores, "op6_toxicity": op6_toxicity, "op8_near_duplicates": op8_near_duplicates, "op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k}
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES = {"op1_backoff_scores": op1_backoff_scores, "op6_toxicity": op6_toxicity, "op8_near_duplicates": op8_near_duplicates, "op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k, "op13_collocations": op13_collocations}
 
 ORACLE = {"op4_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS i FROM embeddings
@@ -142,5 +146,21 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_tokens, round(coalesce(sum(s.x), 0), 6) A
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.w"""
 
 
+ORACLE["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM s),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE f >= 100 AND k > 1),
+x AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+y AS (SELECT x.lang, x.phrase, a, l.f AS l, r.f AS r, n, cut, (1000::HUGEINT * a * n // (l.f::HUGEINT * r.f))::BIGINT AS score FROM x JOIN n USING (lang)
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[cut + 1:], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT DISTINCT b.lang, array_to_string(b.w[u:v], ' ') AS phrase, b.a FROM c b, unnest(range(1, 6)) AS p(u), unnest(range(1, 6)) AS q(v) WHERE u <= v AND v <= b.k AND v - u + 1 < b.k),
+o AS (SELECT z.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z
+  WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = z.lang AND h.phrase = z.phrase AND 100 * h.a >= 100 * z.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
+
+
 def registered():
     return QUERIES, ORACLE
