@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import backoff, chat_format, collocations, hash_search, language_id, mixing, ngram_join, packing, pivot_search, secret_scan, toxicity
+from . import backoff, chat_format, collocations, hash_search, language_id, mixing, ngram_join, packing, pivot_search, prefix_trie, secret_scan, substring_dedup, toxicity
 from .common import remainder, table
 
 
@@ -76,11 +76,20 @@ def op10_packed(spark, sf_dir):
     return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.nodes(*prefix_trie.spliced(table(spark, sf_dir, "conversations")))
+
+
+def op12_repeats_removed(spark, sf_dir):
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), shown=lambda kept: F.sha2(kept, 256))
+    return found.select("doc_id", "repeats.n_words", "repeats.n_removed", F.col("repeats.kept").alias("kept_sha256"))
+
+
 def op13_collocations(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
-QUERIES = {"op1_backoff_scores": op1_backoff_scores, "op6_toxicity": op6_toxicity, "op8_near_duplicates": op8_near_duplicates, "op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k, "op13_collocations": op13_collocations}
+QUERIES = {"op1_backoff_scores": op1_backoff_scores, "op6_toxicity": op6_toxicity, "op8_near_duplicates": op8_near_duplicates, "op7_languages": op7_languages, "op10_packed": op10_packed, "op3_secrets": op3_secrets, "op5_chat_examples": op5_chat_examples, "op9_source_mix": op9_source_mix, "op2_neighbours": op2_neighbours, "op4_exact_top_k": op4_exact_top_k, "op11_prefix_trie": op11_prefix_trie, "op12_repeats_removed": op12_repeats_removed, "op13_collocations": op13_collocations}
 
 ORACLE = {"op4_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS i FROM embeddings
@@ -162,5 +171,32 @@ o AS (SELECT z.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DE
 SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
 
 
+ORACLE["op11_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS s FROM t GROUP BY conv_id),
+h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384)))) % 6 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, len(s) AS n, s, unnest(range(0, len(s) + 1)) AS depth FROM r),
+v AS (SELECT depth, s[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256,
+    count(*) FILTER (n > depth) AS longer FROM m GROUP BY depth, s[1:depth]),
+p AS (SELECT c.path, u.conv_id AS parent FROM v c JOIN v u ON c.depth = u.depth + 1 AND c.path[1:u.depth] = u.path),
+k AS (SELECT u.path, count(*) AS n_children FROM v c JOIN v u ON c.depth = u.depth + 1 AND c.path[1:u.depth] = u.path GROUP BY u.path),
+z AS (SELECT u.path, count(*) FILTER (c.longer = 0) AS n_leaves, sum((c.n_convs - 1) * coalesce(length(c.path[c.depth].text), 0))::BIGINT AS saved_tokens
+  FROM v u JOIN v c ON c.depth >= u.depth AND c.path[1:u.depth] = u.path GROUP BY u.path)
+SELECT conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM v LEFT JOIN p USING (path) LEFT JOIN k USING (path) JOIN z USING (path)"""
+
+
+ORACLE["op12_repeats_removed"] = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT i, unnest(range(1, len(w) - 33)) AS pos, w FROM d), k AS (SELECT i, pos, md5(array_to_string(w[pos:pos + 34], ' ')) AS key FROM g),
+t AS (SELECT key FROM k GROUP BY key HAVING count(*) > 1), r AS (SELECT i, list(pos) AS pos FROM k WHERE key IN (SELECT key FROM t) GROUP BY i),
+c AS (SELECT i, list_distinct(flatten(list_transform(pos, lambda a: range(a, a + 35)))) AS gone FROM r),
+p AS (SELECT d.i, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word, coalesce(gone, []) AS gone FROM d LEFT JOIN c ON c.i = d.i),
+s AS (SELECT i, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM p WHERE NOT list_contains(gone, place) GROUP BY i)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (i)"""
+
+
 def registered():
     return QUERIES, ORACLE

@@ -25,23 +25,27 @@ def places(values: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mixed >> np.uint64(64 - bits)
 
 
-def reached(frame: DataFrame, hashed: Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray]]], bits: int, threshold: int, rows: int = 1) -> np.ndarray:
-    """(rows, 2**bits / 8) packed bits: which counters reach the threshold (at most 255). `hashed` gives pairs of values and weights."""
+def reached(frame: DataFrame, hashed: Callable[[Iterable[pa.RecordBatch]], Iterable[tuple[np.ndarray, np.ndarray]]], bits: int, threshold: int, rows: int = 1) -> np.ndarray:
+    """(rows, 2**bits / 8) packed bits: which counters reach the threshold (at most 255). `hashed` turns a
+    task's batches into pairs of values and weights."""
     def fill(batches):
-        counts, open_adds = np.zeros((rows, 1 << bits), np.uint32), 0
-        for batch in batches:
-            for values, weights in hashed(batch):
-                small = np.minimum(weights, threshold).astype(np.uint32)
-                if open_adds + len(values) > (1 << 32) // (threshold + 1) - threshold:
-                    np.minimum(counts, threshold, out=counts)
-                    open_adds = 0
-                open_adds += len(values)
+        counts, open_adds = np.zeros((rows, 1 << bits), np.uint8 if threshold == 1 else np.uint32), 0
+        for values, weights in hashed(batches):
+            if threshold == 1:
                 for row in range(rows):
-                    np.add.at(counts[row], places(values, row, bits), small)
+                    counts[row][places(values, row, bits)] = 1
+                continue
+            small = np.minimum(weights, threshold).astype(np.uint32)
+            if open_adds + len(values) > (1 << 32) // (threshold + 1) - threshold:
+                np.minimum(counts, threshold, out=counts)
+                open_adds = 0
+            open_adds += len(values)
+            for row in range(rows):
+                np.add.at(counts[row], places(values, row, bits), small)
         packer = zstandard.ZstdCompressor(level=1)
-        for number, part in enumerate(np.minimum(counts, threshold).astype(np.uint8).reshape(rows * SLICES, -1)):
+        for number, part in enumerate(np.minimum(counts, threshold, out=counts).reshape(rows * SLICES, -1)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packer.compress(part.tobytes())], pa.binary())], ["slice", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packer.compress(part.astype(np.uint8).tobytes())], pa.binary())], ["slice", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
