@@ -24,63 +24,44 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .common import best_ranked, released, written
+from .words import Words, mix, parts
 
-ORDER, MARK = 5, b"."
+ORDER, MARK, LANG_SEED = 5, b".", 7
 _FOLD = bytes(ord(".") if chr(b) in ".,;:!?\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-PART_BYTES, PART_TOKENS, KEPT_WORDS = 3_000_000, 500_000, 60_000
+PART_BYTES, MOST_HELD = 3_000_000, 250_000
 
 
-class _Hashes(dict):
-    """64-bit hashes of tokens, remembered up to a bound."""
+def stream_of(text: bytes) -> bytes:
+    """Words, and a mark wherever a piece ends, with one space between; no word holds a mark."""
+    return b" ".join(text.translate(_FOLD).replace(MARK, b" . ").split())
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        for t in set(tokens).difference(self):
-            self[t] = xxhash.xxh64_intdigest(t)
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
-
-def _mix(values: np.ndarray, more: np.ndarray) -> np.ndarray:
-    out = (values ^ more) * np.uint64(0x9E3779B97F4A7C15)
-    return out ^ (out >> np.uint64(29))
-
-
-def tokens_of(text: bytes) -> list[bytes]:
-    """Words, and a mark wherever a piece ends; marks are single bytes that no word can hold."""
-    return text.translate(_FOLD).replace(MARK, b" . ").split()
-
-
-def parse(tokens: list[bytes], spacing: int, hashes: _Hashes) -> list[tuple[int, int, bytes]]:
-    """A text's chunks as (own tokens, words among them, chunk)."""
-    n, near = len(tokens), ORDER - 1
-    starts = [0] if n else []
-    if n > near:
-        h = hashes.of(tokens)
-        window = h[:n - near + 1]
-        for i in range(1, near):
-            window = _mix(window, h[i:n - near + 1 + i])
-        starts += [int(i) for i in np.flatnonzero((window >> np.uint64(20)) % np.uint64(spacing) == 0) if i]
-    return [(e - s, e - s - tokens[s:e].count(MARK), b" ".join(tokens[s:e + near])) for s, e in zip(starts, starts[1:] + [n])]
+def parse(texts: list[bytes], spacing: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of streams, and for each chunk its first token, the end of its own tokens and its end."""
+    words, near = Words(texts), ORDER - 1
+    grams = words.grams(words.hashes(), near)
+    text_end = np.repeat(words.last, words.last - words.first)
+    place = np.arange(len(words))
+    begins = np.zeros(len(words), bool)
+    begins[:len(grams)] = ((grams >> np.uint64(20)) % np.uint64(spacing) == 0) & (place[:len(grams)] + near <= text_end[:len(grams)])
+    begins[words.first[words.first < words.last]] = True
+    starts = np.flatnonzero(begins)
+    own = np.append(starts[1:], len(words))[:len(starts)]
+    return words, starts, own, np.minimum(own + near, text_end[starts])
 
 
 def dictionary(documents: DataFrame, lang: str, text: str, spacing: int) -> DataFrame:
-    """(lang, own, words, chunk, n): distinct chunks with their frequencies."""
+    """(lang, own, words, chunk, n): distinct chunks with their own tokens, words among those, and frequencies."""
     def cut(batches):
-        hashes, found, held = _Hashes(), Counter(), 0
-        for batch in batches:
-            for own, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                found.update((own, *c) for c in parse(tokens_of(body), spacing, hashes))
-                held += len(body)
-                if held > PART_BYTES and found:
-                    yield _rows(found)
-                    found, held = Counter(), 0
-        if found:
-            yield _rows(found)
-
-    def _rows(found):
-        columns = [pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int32(), pa.int32(), pa.binary()))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.int64())], ["lang", "own", "words", "chunk", "n"])
+        rows = ((lang, stream_of(body)) for batch in batches for lang, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()))
+        for part in parts(rows, PART_BYTES):
+            words, starts, own, ends = parse([t for _, t in part], spacing)
+            marks = np.concatenate([[0], np.cumsum(words.marks(MARK))])
+            langs = [part[i][0] for i in np.searchsorted(words.last, starts, "right")]
+            found = Counter(zip(langs, (own - starts).tolist(), (own - starts - marks[own] + marks[starts]).tolist(), map(words.run, starts.tolist(), ends.tolist())))
+            if found:
+                columns = [pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int32(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.int64())], ["lang", "own", "words", "chunk", "n"])
 
     read = documents.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     return read.mapInArrow(released(cut), "lang string, own int, words int, chunk binary, n long").groupBy("lang", "own", "words", "chunk").agg(F.sum("n").alias("n"))
@@ -89,60 +70,60 @@ def dictionary(documents: DataFrame, lang: str, text: str, spacing: int) -> Data
 class _Part:
     """Some chunks of one language, laid end to end."""
 
-    def __init__(self, lang: str, chunks: list[tuple[bytes, int, int]], hashes: _Hashes):
-        self.lang, self.tokens, sizes = lang, [], []
-        for chunk, _, _ in chunks:
-            own = chunk.split()
-            self.tokens += own
-            sizes.append(len(own))
-        self.ends = np.cumsum(sizes)
-        self.h = hashes.of(self.tokens)
-        self.first = _mix(self.h, np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))))
-        self.weight = np.repeat(np.array([n for _, _, n in chunks], np.int64), sizes)
-        starts = self.ends - sizes
-        self.own = np.arange(len(self.tokens)) < np.repeat(starts + [o for _, o, _ in chunks], sizes)
-        self.word = self.h != np.uint64(xxhash.xxh64_intdigest(MARK))
+    def __init__(self, lang: str, chunks: list[tuple[int, int, bytes]]):
+        self.lang, self.words = lang, Words([c for _, _, c in chunks])
+        sizes = self.words.last - self.words.first
+        self.left = np.repeat(self.words.last, sizes) - np.arange(len(self.words))
+        self.h = self.words.hashes()
+        self.first = mix(self.h, np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), LANG_SEED)))
+        self.weight = np.repeat(np.array([n for _, n, _ in chunks], np.int64), sizes)
+        self.own = np.arange(len(self.words)) < np.repeat(self.words.first + [o for o, _, _ in chunks], sizes)
+        self.word = ~self.words.marks(MARK)
 
     def runs(self, usable: np.ndarray) -> np.ndarray:
         """How many usable tokens stand in a row from each place, within its chunk, up to ORDER."""
-        n = len(self.tokens)
-        left = np.repeat(self.ends, np.diff(np.concatenate([[0], self.ends]))) - np.arange(n)
-        stop = np.flatnonzero(~usable)
-        following = np.append(stop, n)[np.searchsorted(stop, np.arange(n))] - np.arange(n)
-        return np.minimum(np.minimum(left, following), ORDER)
+        out = np.zeros(len(usable), np.int8)
+        alive = usable
+        for size in range(1, ORDER + 1):
+            out += alive
+            alive = alive & np.append(usable[size:], np.zeros(min(size, len(usable)), bool))
+        return np.minimum(out, self.left)
 
     def longer(self, values: np.ndarray, size: int) -> np.ndarray:
         """Hashes of the phrases of one token more (those past the end are meaningless and never used)."""
-        return _mix(values, np.concatenate([self.h[size - 1:], np.zeros(min(size - 1, len(self.h)), np.uint64)]))
+        return mix(values, np.append(self.h[size - 1:], np.zeros(min(size - 1, len(self.h)), np.uint64)))
 
 
-def _parts(batch: pa.RecordBatch, hashes: _Hashes):
-    """The chunks of a batch, by language, in parts of bounded size."""
+def _parts(batches):
+    """The chunks of a task, by language, in parts of bounded size."""
     groups: dict[str, list] = {}
-    for lang, own, chunk, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "own", "chunk", "n"))):
-        groups.setdefault(lang, []).append((chunk, own, n))
+    sizes: Counter = Counter()
+    for batch in batches:
+        for lang, own, n, chunk in zip(*(batch.column(c).to_pylist() for c in ("lang", "own", "n", "chunk"))):
+            groups.setdefault(lang, []).append((own, n, chunk))
+            sizes[lang] += len(chunk)
+        if sizes.total() > PART_BYTES:
+            for lang, chunks in groups.items():
+                for part in parts(chunks, PART_BYTES):
+                    yield _Part(lang, part)
+            groups, sizes = {}, Counter()
     for lang, chunks in groups.items():
-        at, held = 0, 0
-        for i, (chunk, _, _) in enumerate(chunks):
-            held += len(chunk)
-            if held > PART_TOKENS * 6 or i == len(chunks) - 1:
-                yield _Part(lang, chunks[at:i + 1], hashes)
-                at, held = i + 1, 0
+        yield _Part(lang, chunks)
 
 
 def frequent(chunks: DataFrame, least: int, bits: int) -> DataFrame:
     """(lang, phrase, f): every phrase of 1 to ORDER words with at least `least` occurrences."""
     spark, floor = chunks.sparkSession, min(least, 255)
 
-    def words(batch):
-        for part in _parts(batch, _Hashes()):
+    def words(batches):
+        for part in _parts(batches):
             at = part.own & part.word
             yield part.first[at], part.weight[at]
 
     single = spark.sparkContext.broadcast(sketch.reached(chunks, words, bits, floor))
 
-    def phrases(batch):
-        for part in _parts(batch, _Hashes()):
+    def phrases(batches):
+        for part in _parts(batches):
             runs = part.runs(part.word & sketch.holds(single.value, part.first))
             values = part.first
             for size in range(2, ORDER + 1):
@@ -153,41 +134,58 @@ def frequent(chunks: DataFrame, least: int, bits: int) -> DataFrame:
     several = spark.sparkContext.broadcast(sketch.reached(chunks, phrases, bits, floor))
 
     def count(batches):
-        for batch in batches:
-            for part in _parts(batch, _Hashes()):
-                yield from _counted(part, single.value, several.value)
+        held: dict[tuple[str, bytes], int] = {}
+        for part in _parts(batches):
+            for phrase, f in _counted(part, single.value, several.value):
+                held[part.lang, phrase] = held.get((part.lang, phrase), 0) + f
+            if len(held) > MOST_HELD:
+                yield _sums(held)
+                held = {}
+        yield _sums(held)
+
+    def _sums(held):
+        langs, phrases = zip(*held) if held else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(held.values(), pa.int64())], ["lang", "phrase", "f"])
 
     found = chunks.mapInArrow(released(count), "lang string, phrase binary, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 
+def _numbers(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Equal words get equal numbers. Two independent hashes must agree on which are equal; where they do not, the words decide."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    second = words.hashes(1)
+    if (second[first][number] != second).any():
+        names: dict[bytes, int] = {}
+        return np.array([names.setdefault(words.run(i, i + 1), len(names)) for i in range(len(words))], np.int64), len(names)
+    return number, len(first)
+
+
 def _counted(part: _Part, single: np.ndarray, several: np.ndarray):
-    """Exact counts of the part's phrases that the counters leave possible. Phrases are numbered by (number of the shorter phrase, last
-    word), so no hash decides which are equal."""
-    names: dict[bytes, int] = {}
-    ids = np.fromiter((names.setdefault(t, len(names)) for t in part.tokens), np.int64, len(part.tokens))
+    """(phrase, count): exact counts of the part's phrases that the counters leave possible. Phrases are numbered by (number of the
+    shorter phrase, last word)."""
+    ids, kinds = _numbers(part.words, part.h)
     able = part.word & sketch.holds(single, part.first)
     runs, values = part.runs(able), part.first
     number, alive = ids, able
     for size in range(1, ORDER + 1):
         if size > 1:
             values = part.longer(values, size)
-            both = alive & np.append(alive[1:], False) & (runs >= size)
-            at = np.flatnonzero(both)
+            at = np.flatnonzero(alive & np.append(alive[1:], False) & (runs >= size))
             at = at[sketch.holds(several, values[at])]
             alive = np.zeros(len(ids), bool)
             alive[at] = True
-            _, place = np.unique(number[at] * len(names) + ids[at + size - 1], return_inverse=True)
+            _, place = np.unique(number[at] * kinds + ids[at + size - 1], return_inverse=True)
             number = np.full(len(ids), -1, np.int64)
             number[at] = place
         at = np.flatnonzero(alive & part.own)
         if not len(at):
             continue
-        kept, first, inverse = np.unique(number[at], return_index=True, return_inverse=True)
-        sums = np.zeros(len(kept), np.int64)
+        _, first, inverse = np.unique(number[at], return_index=True, return_inverse=True)
+        sums = np.zeros(len(first), np.int64)
         np.add.at(sums, inverse, part.weight[at])
-        shown = [b" ".join(part.tokens[i:i + size]) for i in at[first]]
-        yield pa.RecordBatch.from_arrays([pa.array([part.lang] * len(shown), pa.string()), pa.array(shown, pa.binary()), pa.array(sums, pa.int64())], ["lang", "phrase", "f"])
+        starts = at[first]
+        yield from zip(map(part.words.run, starts.tolist(), (starts + size).tolist()), sums.tolist())
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:

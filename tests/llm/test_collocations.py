@@ -66,7 +66,7 @@ def test_empty_table_and_registered_query(spark, make_documents):
 def test_counters_never_rule_out_what_reaches_the_threshold(spark):
     values = np.random.default_rng(1).integers(0, 2 ** 63, 3000).astype(np.uint64)
     frame = spark.createDataFrame([(int(v >> np.uint64(1)), 1 + i % 5) for i, v in enumerate(values)] * 2, "v long, n long").repartition(3)
-    read = lambda b: [(b.column("v").to_numpy().astype(np.uint64), b.column("n").to_numpy())]
+    read = lambda batches: ((b.column("v").to_numpy().astype(np.uint64), b.column("n").to_numpy()) for b in batches)
     for bits, rows in ((10, 1), (16, 2)):
         packed = sketch.reached(frame, read, bits, 8, rows)
         kept = sketch.holds(packed, values >> np.uint64(1))
