@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..session import durable, only_row
-from . import tiling
+from ..session import broadcast_if_small, durable, only_row
+from . import even_odd, tiling
 from .tiling import CELL
 
 _EDGE = ["x1", "y1", "x2", "y2"]
@@ -172,12 +172,17 @@ def area_shares(polygons: DataFrame, areas: DataFrame, polygon_id: str = "id", p
     """One row per polygon and area with a positive overlap: `polygon_id`, `area_code`, `overlap`, `area_share`.
 
     Overlaps are found cell by cell: an equi-join on the cell, a closed-form integral per pair of pieces, and one sum
-    that is combined before the shuffle. Coordinates must be metric.
+    that is combined before the shuffle. Coordinates must be metric. Polygons whose rings cross, wind twice or lie outside each other are
+    measured by the even-odd rule; the areas must be valid.
     """
     whole = geo.polygon_area(F.col(polygon_geom)).alias("whole")
     left = tiling.tile_layer(polygons.select(F.col(polygon_id).alias("pid"), F.col(polygon_geom).alias("geom"), whole), "pid", "geom", ["whole"])
     right = tiling.tile_layer(areas.select(F.col(code).alias("area_code"), F.col(geom).alias("geom")), "area_code", "geom")
     p = polygon_pieces(left, "pid", tiling.levels_of(right[0]), ["whole"])
+    bad = durable(even_odd.faulty(polygon_pieces(left, "pid", [], ["whole"]), "pid", ["pid", "own", *CELL]))
+    if bad.limit(1).count():
+        listed = broadcast_if_small(bad)
+        p = p.join(listed, "pid", "left_anti").unionByName(even_odd.mended(p, "pid", listed, "whole"))
     a = polygon_pieces(right, "area_code", tiling.levels_of(left[0]), [])
     shape = ["own", "xa", "xb", "ha", "hb", "sign"]
     p, a = (f.withColumnsRenamed({c: f"{n}_{c}" for c in shape}) for f, n in ((p, "p"), (a, "a")))

@@ -7,7 +7,9 @@ from ..functions import cells
 from ..functions import geometry as geo
 from ..functions.cells import AGE_BANDS
 from ..operators import areas as joins
-from ..sources import files, sheets, sinks, tables
+from ..operators import contracts
+from ..session import scratch_folder
+from ..sources import files, releases, sheets, sinks, tables
 from . import areas
 from .areas import table
 from .source_queries import _grid, _lit
@@ -111,13 +113,71 @@ def titled_csv(spark, sf):
     return places.select("polling_place_id", "polling_place_name", "lon", F.lit(release.first()["release"]).alias("release"))
 
 
+@query("multi_file_csv", """WITH c AS (SELECT c_custkey AS k, c_custkey // 100 % 3 AS kind FROM customer)
+    SELECT k::VARCHAR AS stop_id, CASE WHEN kind <> 1 THEN CASE WHEN k % 3 = 0 THEN 'Stand "' || k || '",' || chr(10) || chr(10) || 'level 2' WHEN k % 3 = 1 THEN 'Plain ' || k ELSE '' END END AS stop_name,
+    CASE WHEN kind <> 2 THEN CASE WHEN k % 4 = 0 THEN '' ELSE (k % 90)::VARCHAR END END AS lat, CASE WHEN kind = 2 THEN 'a, b' END AS "note, long" FROM c""")
+def multi_file_csv(spark, sf):
+    """Files of customers with three kinds of headers, and names with quotes, commas and line breaks, read in one pass."""
+    key = F.col("c_custkey")
+    name = F.when(key % 3 == 0, F.concat(F.lit('"Stand ""'), key.cast("string"), F.lit('"",\n\nlevel 2"'))).when(key % 3 == 1, F.concat(F.lit("Plain "), key.cast("string"))).otherwise("")
+    lat = F.when(key % 4 == 0, "").otherwise((key % 90).cast("string"))
+    file = F.floor(key / 100)
+    kind = file % 3
+    row = F.when(kind == 0, F.concat_ws(",", key.cast("string"), name, lat)).when(kind == 1, F.concat_ws(",", lat, key.cast("string"))).otherwise(F.concat_ws(",", F.lit('"a, b"'), name, key.cast("string")))
+    head = F.when(kind == 0, "stop_id,stop_name,lat").when(kind == 1, "lat,stop_id").otherwise('"note, long",stop_name,"stop_id"')
+    rows = table(spark, sf, "customer").select(file.alias("file"), key.alias("place"), row.alias("value"), head.alias("head"))
+    heads = rows.groupBy("file").agg(F.lit(-1).cast("long").alias("place"), F.min("head").alias("value"))
+    lines = rows.select("file", "place", "value").unionByName(heads.select("file", "place", "value"))
+    folder = scratch_folder(spark)
+    lines.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(folder)
+    return files.read_csv_union(spark, folder, "*.txt").drop(*files.FILE_ORDER)
+
+
+@query("staged_tables", "SELECT c_custkey AS code, upper(c_name) AS name, 'second' AS release FROM customer")
+def staged_tables(spark, sf):
+    """A second release over a first one, and a third that fails on its way and changes nothing."""
+    customers, folder = table(spark, sf, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name")), scratch_folder(spark)
+    releases.publish(spark, {"customers": customers.limit(0)}, folder, "first")
+    releases.publish(spark, {"customers": customers.withColumn("name", F.upper("name"))}, folder, "second")
+    broken = customers.withColumn("name", F.raise_error(F.lit("a broken table")).cast("string"))
+    try:
+        releases.publish(spark, {"customers": customers, "other": broken}, folder, "third")
+    except Exception as error:
+        if "a broken table" not in str(error):
+            raise
+    return releases.read_release(spark, folder, "customers").withColumn("release", F.lit(releases.current_run(spark, folder)))
+
+
+@query("gated_release", """SELECT c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY c_nationkey""")
+def gated_release(spark, sf):
+    """Counts that pass their checks are released; a later release with a failing record is not."""
+    counts = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
+    folder, profile = scratch_folder(spark), contracts.profile(counts, "counts", ["nation"])
+    sound = contracts.issue_record(contracts.run_checks(counts, "counts", [contracts.Check(F.min("customers"), "empty nations", low=1)]), profile, "counts")
+    faulty = contracts.issue_record(contracts.run_checks(counts, "counts", [contracts.Check(F.count(F.lit(1)), "{value} nations", high=0)]), profile, "counts")
+    done = [releases.gated_publish(spark, records, {"counts": frame}, folder, run) for run, records, frame in (("r1", sound, counts), ("r2", faulty, counts.limit(0)))]
+    if done != [True, False]:
+        raise RuntimeError(f"the gate let through {done}")
+    return releases.read_release(spark, folder, "counts")
+
+
+@query("quality_log", """SELECT 'nation ' || c_nationkey AS dataset, count(*) AS rows, unnest(['2031-01-01', '2031-01-02']) AS run FROM customer GROUP BY c_nationkey""")
+def quality_log(spark, sf):
+    """Two runs log their records, the second one twice."""
+    records = table(spark, sf, "customer").groupBy(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("dataset")).agg(F.count(F.lit(1)).alias("rows"))
+    folder = scratch_folder(spark)
+    for run in ("2031-01-01", "2031-01-02", "2031-01-02"):
+        releases.log_run(records, folder, run)
+    return releases.read_log(spark, folder)
+
+
 @query("geojson_features", f"""WITH {SQUARES_SQL} SELECT code, area_name AS name, c + 1.0 AS second_x FROM sq""")
 def geojson_features(spark, sf):
     """Features as one collection per ten areas, each on one line, and read back."""
     squares = areas.squares(spark, sf).withColumnRenamed("area_name", "name")
-    lines = sinks.feature_lines(squares, ["code", "name"], "geom")
-    folder = F.pmod(F.xxhash64("value"), F.lit(10))
-    collections = lines.groupBy(folder.alias("file")).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("value"), ", "), F.lit("]}")).alias("value"))
+    tens = squares.withColumn("file", F.floor(F.col("code") / 10))
+    lines = tens.select("file", sinks.feature_text(["code", "name"], "geom").alias("value"))
+    collections = lines.groupBy("file").agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("value"), ", "), F.lit("]}")).alias("value"))
     items = files.line_features(collections).select(F.explode("items").alias("f"))
     read = files.feature_columns(items, {"code": "bigint", "name": "string"})
     return read.select("code", "name", F.get(F.get(F.get("geom", 0), 0), 1)["x"].alias("second_x"))

@@ -84,6 +84,33 @@ def area_shares(spark, sf):
     return _shares(spark, sf).select("id", "area_code", F.round("area_share", 6).alias("area_share"))
 
 
+@query("area_shares_crossed", """WITH k AS (SELECT count(*) AS n FROM supplier), p AS (SELECT p_partkey AS id, p_partkey % 4 AS kind, (p_partkey * 13 % (n * 8)) / 4.0::DOUBLE AS cx,
+    (p_partkey % 5 + 1) / 2.0::DOUBLE AS a, (p_partkey % 3 + 1) / 2.0::DOUBLE AS b FROM part, k),
+    m AS (SELECT id, s_suppkey AS area_code, kind, a, b, least(greatest((s_suppkey - 1) * 2 - cx, -a), a) AS t0, least(greatest(s_suppkey * 2 - cx, -a), a) AS t1 FROM p
+      JOIN supplier ON (s_suppkey - 1) * 2 < cx + a AND s_suppkey * 2 > cx - a),
+    t AS (SELECT id, area_code, kind, a, b, unnest([t0, t1]) AS t, unnest([-1, 1]) AS way FROM m),
+    c AS (SELECT id, area_code, way, CASE kind WHEN 0 THEN (a + sign(t) * t * t / a) / (2 * a) WHEN 1 THEN (2 * (t + a) - least(greatest(t + a / 2, 0), a)) / (3 * a)
+      ELSE CASE WHEN t < 0 THEN (a + t) * (a + t) / (2 * a * a) ELSE 1 - (a - t) * (a - t) / (2 * a * a) END END AS upto FROM t)
+    SELECT id, area_code, round(sum(way * upto), 6) AS area_share FROM c GROUP BY id, area_code HAVING sum(way * upto) > 1e-9""")
+def area_shares_crossed(spark, sf):
+    """Bow ties, rings that wind twice round their middle, tilted squares and hourglasses over vertical strips."""
+    n = table(spark, sf, "supplier").count()
+    key = F.col("p_partkey")
+    cx, a, b = key * 13 % (n * 8) / F.lit(4.0), (key % 5 + 1) / F.lit(2.0), (key % 3 + 1) / F.lit(2.0)
+
+    def ring(*corners):
+        return F.array(*[F.struct((F.col("cx") + F.col("a") * u).alias("x"), (F.col("b") * v).alias("y")) for u, v in corners])
+    outer, inner = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)], [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5)]
+    kind = F.col("kind")
+    shape = (F.when(kind == 0, ring((-1, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))).when(kind == 1, ring(*outer, *inner, (-1, -1)))
+             .when(kind == 2, ring((-1, 0), (0, -1), (1, 0), (0, 1), (-1, 0))).otherwise(ring((-1, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))))
+    shapes = table(spark, sf, "part").select(key.alias("id"), (key % 4).alias("kind"), cx.alias("cx"), a.alias("a"), b.alias("b")).select("id", F.array(F.array(shape)).alias("geom"))
+    edge = (F.col("s_suppkey") - 1) * F.lit(2.0)
+    strips = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), geo.rectangle(edge, F.lit(-4.0), edge + 2, F.lit(4.0)).alias("geom"))
+    shares = joins.area_shares(shapes, strips).filter("area_share > 1e-9")
+    return shares.select("id", "area_code", F.round("area_share", 6).alias("area_share"))
+
+
 @query("assign_polygons", f"""WITH {SHARES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY area_share DESC, area_code) AS k FROM shr),
     g AS (SELECT id, max(area_share) AS win, sum(area_share) AS inside, count(*) AS n, max(CASE WHEN k = 1 THEN area_code END) AS code FROM k GROUP BY id)
     SELECT p_partkey AS id, CASE WHEN greatest(0, 1 - inside) <= win + 1e-12 THEN code END AS assigned_area, round(coalesce(win, 0), 6) AS winner_share,

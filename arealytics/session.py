@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,12 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new name for files of this session, in the folder that the driver and every executor share."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def only_row(frame: DataFrame) -> Row:
     """The one row of an aggregate without groups. Its numbers then go into later plans as literals, which keeps those short."""
     return frame.first()

@@ -1,78 +1,119 @@
 """Readers for published files: titled CSV, many CSVs with differing headers, cell grids, GeoJSON, features, manifests."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import boxes
 from ..operators.relate import first_per_key
+from ..session import broadcast_if_small, durable
 
 # Fixed value: the mark of a title line, its text and date.
 TITLE = r"^(.*?)\s*\[.*Generated:(\d{4}-\d{2}-\d{2})"
-# Quotes inside quoted cells are doubled. A line break inside quotes is not supported: its row is split and keeps missing cells.
-CSV = {"quote": '"', "escape": '"'}
-
-
 def _without_mark(line: Column) -> Column:
     return F.regexp_replace(line, "^﻿", "")
 
 
+FILE_ORDER = ["file_path", "file_block", "file_row"]
+# One cell with the comma before it; a quoted cell may hold commas, line breaks and doubled quotes.
+_CELL = r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
+
+
+def cells_of(record: Column) -> Column:
+    """The cells of a CSV record, without the quotes around them."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELL), F.lit(1))
+    inner = F.transform(found, lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, r'^"|"\z', ""), '""', '"')).otherwise(c))
+    return inner
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """(file_path, file_block, file_row, record) from lines (file_path, file_block, file_row, value): lines that end inside quotes are
+    joined to the next ones.
+
+    A line begins a record where the number of quotes before it in its file is even. That parity is a prefix sum in two levels: inside a block of
+    the file, and over the totals of its blocks, of which a file has few. Only the lines of records with line breaks are then gathered, by record,
+    and a record is one row; a quote that never closes makes the rest of its file one record. Empty records are left out.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    counted = lines.withColumn("quotes", quotes)
+    along = Window.partitionBy("file_path").orderBy("file_block")
+    before, past = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file_path", "file_block").orderBy("file_row")
+    blocks = counted.groupBy("file_path", "file_block").agg(F.sum("quotes").alias("all"))
+    blocks = blocks.select("file_path", "file_block", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("earlier"))
+    held = counted.join(broadcast_if_small(durable(blocks)), ["file_path", "file_block"])
+    parity = (F.col("earlier") + F.coalesce(F.sum("quotes").over(past.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2
+    marked = held.withColumn("begins", parity == 0).withColumn("whole", F.col("begins") & (F.col("quotes") % 2 == 0))
+    marked = durable(marked.select(*FILE_ORDER, "value", "begins", "whole"))
+    single = marked.filter("whole").select(*FILE_ORDER, F.col("value").alias("record"))
+    # A later line belongs to the last beginning before it, which may lie in an earlier block.
+    parts, start = marked.filter("NOT whole"), F.when(F.col("begins"), F.struct("file_block", "file_row"))
+    lasts = parts.groupBy("file_path", "file_block").agg(F.max(start).alias("last"))
+    lasts = lasts.select("file_path", "file_block", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    owned = parts.join(broadcast_if_small(durable(lasts)), ["file_path", "file_block"]).withColumn("start", F.coalesce(F.last(start, ignorenulls=True).over(past), "carried"))
+    line = F.sort_array(F.collect_list(F.struct("file_block", "file_row", "value")))
+    several = owned.groupBy("file_path", "start").agg(F.array_join(F.transform(line, lambda x: x["value"]), "\n").alias("record"))
+    several = several.select("file_path", "start.file_block", "start.file_row", "record")
+    return single.unionByName(several).withColumn("record", F.regexp_replace("record", r"\r$", "")).filter(F.col("record") != "")
+
+
+def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The CSV records of files, in any number of tasks; see `csv_records`."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return csv_records(lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block"),
+                                    F.monotonically_increasing_id().alias("file_row"), _without_mark(F.col("value")).alias("value")))
+
+
 def titled_rows(lines: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of a titled CSV given as lines (`value`), as text with blanks kept as "", and the release read from the title.
+    """Rows of a titled CSV given as records (`value`), as text with blanks kept as "", and the release read from the title.
 
-    The title is known by its [...Generated:date] mark; the header is the line that names all columns, in whatever order, and cells are
-    taken by its places. No line numbers are needed, so the lines can come from many tasks.
+    The title is known by its [...Generated:date] mark; the header is the record that names all columns, in whatever order, and cells are
+    taken by its places. No line numbers are needed, so the records can come from many tasks.
     """
     lines = lines.select(_without_mark(F.col("value")).alias("value"))
     title = lines.filter(F.col("value").rlike(TITLE))
     release = title.limit(1).select(F.concat(F.regexp_extract("value", TITLE, 1), F.lit(", generated "), F.regexp_extract("value", TITLE, 2)).alias("release"))
-    cells = F.transform(F.split(F.regexp_replace("value", '"', ""), ","), lambda c: F.trim(c))
+    cells = F.transform(cells_of(F.col("value")), lambda c: F.trim(c))
     heading = F.size(F.array_except(F.array(*[F.lit(c) for c in columns]), cells)) == 0
     header = lines.filter(heading).select(cells.alias("names")).first()
     if header is None:
         raise ValueError(f"no line names the columns {', '.join(columns)}")
-    names = [f"c{i}" for i in range(len(header["names"]))]
-    place = {n: f"c{i}" for i, n in reversed(list(enumerate(header["names"])))}
-    body = lines.filter(~F.col("value").rlike(TITLE) & ~heading & (F.trim("value") != ""))
-    parsed = body.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names), CSV).alias("r"))
-    return parsed.select(*[F.col("r")[place[c]].alias(c) for c in columns]).fillna(""), release
+    place = {n: i for i, n in reversed(list(enumerate(header["names"])))}
+    body = lines.filter(~F.col("value").rlike(TITLE) & ~heading & (F.trim("value") != "")).select(cells_of(F.col("value")).alias("cells"))
+    return body.select(*[F.coalesce(F.get("cells", F.lit(place[c])), F.lit("")).alias(c) for c in columns]), release
 
 
 def read_titled_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    return titled_rows(spark.read.text(path), columns)
-
+    return titled_rows(durable(read_records(spark, path).select(F.col("record").alias("value"))), columns)
 
-def list_files(spark: SparkSession, folder: str, name: str) -> list[str]:
-    """Paths of the files with a name (any case) under a folder, in path order. Only their listing reaches the driver."""
-    either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
-    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", either)
-             .load(folder).select("path").collect())
-    return sorted(r["path"] for r in found)
 
+def csv_union(records: DataFrame) -> DataFrame:
+    """The records of many CSV files stacked by column name, each by its own file's header (its first record).
 
-def read_csv_union(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
-    """All CSVs of a name under a folder as text, stacked by column name; blanks stay "", columns a file lacks are missing.
-
-    `file_path`, `file_block` and `file_row` keep the order of the rows. One read with one header would shift columns between
-    files, so files are read together only when their headers are the same.
+    Headers are rows, joined to the records by path, so one pass serves any number of files and only the names reach the driver. Blanks stay "",
+    columns that a file lacks are missing. `file_path`, `file_block` and `file_row` keep the order of the rows.
     """
-    groups: dict[tuple, list[str]] = {}
-    for path in list_files(spark, folder, name):
-        header = tuple(spark.read.options(**CSV).option("header", "true").csv(path).columns)
-        groups.setdefault(header, []).append(path)
-    out = None
-    for header, paths in groups.items():
-        names = [c.lstrip("﻿") for c in header]
-        schema = ", ".join(f"`{c}` string" for c in names)
-        frame = spark.read.schema(schema).options(**CSV).option("header", "true").option("enforceSchema", "true").csv(paths)
-        frame = frame.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block"),
-                             F.monotonically_increasing_id().alias("file_row")).fillna("", subset=names)
-        out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
-    return out
+    records = durable(records)
+    place = F.struct("file_block", "file_row")
+    heads = records.groupBy("file_path").agg(F.min(place).alias("head"), F.min_by("record", place).alias("names"))
+    heads = durable(heads.select("file_path", "head", F.transform(cells_of(_without_mark(F.col("names"))), lambda c: F.trim(c)).alias("names")))
+    names = heads.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()
+    body = records.join(broadcast_if_small(heads), "file_path").filter(place > F.col("head")).select(*FILE_ORDER, "names", cells_of(F.col("record")).alias("cells"))
 
+    def cell(name):
+        at = F.array_position("names", F.lit(name))
+        return F.when(at > 0, F.coalesce(F.get("cells", (at - 1).cast("int")), F.lit(""))).alias(name)
+    return body.select(*[cell(r["name"]) for r in names if r["name"]], *FILE_ORDER)
 
-FILE_ORDER = ["file_path", "file_block", "file_row"]
+
+def read_csv_union(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """All CSVs of a name (any case) under a folder; see `csv_union`. None if there is no such file."""
+    either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", either).text(folder)
+    if not lines.inputFiles():
+        return None
+    return csv_union(csv_records(lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block"),
+                                              F.monotonically_increasing_id().alias("file_row"), "value")))
 
 
 def first_stop_rows(stops: DataFrame, key: str = "stop_id") -> DataFrame:

@@ -1,9 +1,13 @@
 """Writers: staged tables, catalogue tables, logs, GeoJSON features and flat point layers."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .releases import gated_publish, log_run
+
 
 def write_staged(frame: DataFrame, folder: str, name: str, csv: bool = False) -> str:
     """One overwritten table per name: Parquet, or CSV for a table without geometry."""
@@ -52,18 +56,13 @@ def write_manifest(records: DataFrame, path: str) -> None:
 
 
 def append_quality(records: DataFrame, path: str, run_at: str) -> None:
-    """The quality log only grows: each run adds its records."""
-    records.withColumn("run_at", F.to_timestamp(F.lit(run_at))).write.mode("append").parquet(path)
+    """The quality log only grows: each run adds its records. Adding a run's records again changes nothing."""
+    log_run(records.withColumn("run_at", F.to_timestamp(F.lit(run_at))), path, re.sub("[^A-Za-z0-9._-]", "-", run_at))
 
 
-def gated_write(records: DataFrame, tables: dict[str, DataFrame], folder: str) -> bool:
-    """Write a source's tables only when none of its records is FAIL."""
-    from ..operators.contracts import passes
-    if not passes(records):
-        return False
-    for name, frame in tables.items():
-        write_staged(frame, folder, name)
-    return True
+def gated_write(records: DataFrame, tables: dict[str, DataFrame], folder: str, run: str = "latest") -> bool:
+    """Write a source's tables only when none of its records is FAIL, all of them or none; see `releases.read_release`."""
+    return gated_publish(records.sparkSession, records, tables, folder, run)
 
 
 def run_report(spark: SparkSession, runs: list[tuple]) -> DataFrame:
@@ -71,13 +70,18 @@ def run_report(spark: SparkSession, runs: list[tuple]) -> DataFrame:
     return spark.createDataFrame(runs, "source string, status string, seconds double, reason string")
 
 
-def feature_lines(frame: DataFrame, properties: list[str], geom: str, digits: int = 5) -> DataFrame:
-    """One GeoJSON feature per row, as text; a missing property is null."""
+def feature_text(properties: list[str], geom: str, digits: int = 5) -> Column:
+    """A row's GeoJSON feature as text; a missing property is null."""
     place = F.transform(F.col(geom), lambda part: F.transform(part, lambda ring: F.transform(
         ring, lambda p: F.array(F.round(p["x"], digits), F.round(p["y"], digits)))))
     geometry = F.struct(F.lit("MultiPolygon").alias("type"), place.alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))
-    return frame.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
+    return F.to_json(feature, {"ignoreNullFields": "false"})
+
+
+def feature_lines(frame: DataFrame, properties: list[str], geom: str, digits: int = 5) -> DataFrame:
+    """One GeoJSON feature per row, as text."""
+    return frame.select(feature_text(properties, geom, digits).alias("value"))
 
 
 def write_features(frame: DataFrame, path: str, properties: list[str], geom: str) -> None:

@@ -120,13 +120,13 @@ def test_boundary_and_layer_checks(spark):
 
 
 def test_a_failed_source_is_not_written(spark, tmp_path):
-    from arealytics.sources import sinks, tables
+    from arealytics.sources import releases, sinks, tables
     frame = businesses(spark)
     profiles = contracts.profile(frame, "businesses")
     for limit, written in ((0, False), (9, True)):
         issues = contracts.run_checks(frame, "businesses", [Check(F.count(F.lit(1)), "{value} rows", high=limit)])
         assert sinks.gated_write(contracts.issue_record(issues, profiles, "businesses"), {"businesses": frame}, str(tmp_path)) is written
-        assert (tmp_path / "businesses.parquet").exists() is written
+        assert (releases.read_release(spark, str(tmp_path), "businesses") is not None) is written
     metrics = relate.stack_tables(tables.source_metrics("abs", frame), tables.source_metrics("abs", frame, "industry_code"))
     assert sorted((r["metric"], r["value"]) for r in metrics.collect()) == [("industry_code=A", 1), ("industry_code=G", 1), ("rows", 2)]
     assert sinks.run_report(spark, [("abs", "ok", 1.5, None)]).first()["status"] == "ok"

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from arealytics.sources import files, sheets, sinks, tables
+from arealytics.sources import files, releases, sheets, sinks, tables
 from shapes import box, polygons
 
 
@@ -207,8 +207,8 @@ def test_staged_and_loaded_tables(spark, tmp_path):
     assert list(problems) == ["bad name"] and spark.table("loaded_one").count() == 2
     sinks.write_sorted(frame, str(tmp_path / "sorted"), ["id"])
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "sorted")).collect()] == [1, 2]
-    for _ in range(2):
-        sinks.append_quality(frame, str(tmp_path / "log"), "2026-01-01 00:00:00")
+    for day in (1, 2, 2):  # a run that is logged again replaces its own records
+        sinks.append_quality(frame, str(tmp_path / "log"), f"2026-01-0{day} 00:00:00")
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
 
 
@@ -217,3 +217,60 @@ def test_flat_layer_splits_a_hot_tile(spark):
     rows = sinks.flat_layer(points, 1.0, chunk=100).collect()
     assert sum(len(r["coordinates"]) for r in rows) == 2000 and max(len(r["coordinates"]) for r in rows) < 250
     assert sinks.outside_total(points).first()[0] == 100
+
+
+def test_records_over_line_breaks_at_split_borders(spark, tmp_path):
+    import csv
+    import random
+    rng = random.Random(3)
+    want = {}
+    for f, head in enumerate((["a", "b", "c"], ["c", "a"], ["b, x", "a"], ["a"])):
+        rows = [["".join(rng.choice(["x", "é", ",", '"', "\n", "\r\n", " ", "long text "]) for _ in range(rng.randrange(0, 30))) for _ in head] for _ in range(60)]
+        with open(tmp_path / f"f{f}.csv", "w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator="\r\n" if f % 2 else "\n", quoting=csv.QUOTE_ALL if f == 3 else csv.QUOTE_MINIMAL).writerows([head, *rows])
+        want[f] = [dict(zip(head, r)) for r in rows]
+    (tmp_path / "none.csv").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("97b", "1000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            found = files.read_csv_union(spark, str(tmp_path), "*.CSV").collect()
+            assert set(found[0].asDict()) == {"a", "b", "c", "b, x", *files.FILE_ORDER}
+            for f, rows in want.items():
+                own = sorted((r for r in found if r["file_path"].endswith(f"f{f}.csv")), key=lambda r: (r["file_block"], r["file_row"]))
+                assert [{k: v for k, v in r.asDict().items() if k not in files.FILE_ORDER and v is not None} for r in own] == rows, (size, f)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_number_of_jobs_does_not_grow_with_the_files(spark, tmp_path):
+    jobs = []
+    for n in (2, 12):
+        (tmp_path / str(n)).mkdir()
+        for i in range(n):
+            (tmp_path / str(n) / f"{i}.txt").write_text(f"a,b{i % 2}\n1,2\n")
+        spark.sparkContext.setJobGroup(f"files {n}", "")
+        assert files.read_csv_union(spark, str(tmp_path / str(n)), "*.txt").count() == n
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"files {n}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+
+
+def test_a_failed_run_leaves_the_release_and_a_repeated_one_the_log(spark, tmp_path):
+    frame, folder = spark.createDataFrame([(1, "a")], "id long, name string"), str(tmp_path / "out")
+    assert releases.current_run(spark, folder) is None and releases.read_release(spark, folder, "one") is None
+    releases.publish(spark, {"one": frame, "two": frame}, folder, "r1")
+    broken = frame.select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        releases.publish(spark, {"one": frame.limit(0), "two": broken}, folder, "r2")
+    assert releases.current_run(spark, folder) == "r1" and releases.read_release(spark, folder, "one").count() == 1
+    releases.publish(spark, {"one": frame.limit(0), "two": frame}, folder, "r3")
+    assert (releases.current_run(spark, folder), releases.read_release(spark, folder, "one").count()) == ("r3", 0)
+    for run in ("r1", "r2", "r2"):
+        releases.log_run(frame, str(tmp_path / "log"), run)
+    assert sorted(r["run"] for r in releases.read_log(spark, str(tmp_path / "log")).collect()) == ["r1", "r2"]
+    for wrong in ("", "..", "a/b"):
+        with pytest.raises(ValueError):
+            releases.publish(spark, {"one": frame}, folder, wrong)
