@@ -104,7 +104,7 @@ ORACLE["op3_secrets"] = r"""
 WITH rules(kind, place, pat, least) AS (VALUES
   ('assign', 0, '(?i:(?:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?)([A-Za-z0-9+/_.=-]+)', 6),
   ('access', 1, '(AKIA[A-Z0-9]+)', 20), ('hex', 2, '([0-9a-f]+)', 24), ('github', 3, '(gh[pousr]_[A-Za-z0-9]+)', 40),
-  ('slack', 4, '(xox[abprs]-[A-Za-z0-9-]+)', 15), ('private_key', 5, '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1),
+  ('slack', 4, '(xox[abprs]-[A-Za-z0-9-]+)', 15), ('private_key', 5, '(-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:[ \t\r]*\n[ \t]*(?:[A-Za-z-]+: [^\n]*|[A-Za-z0-9+/=]*)(?m:$))*))', 1),
   ('web_token', 6, '(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)', 30)),
 m AS (SELECT doc_id, kind, place, least, regexp_extract_all(coalesce(text, ''), pat) AS w, regexp_extract_all(coalesce(text, ''), pat, 1) AS g,
     string_split_regex(coalesce(text, ''), pat) AS b FROM documents, rules),

@@ -40,19 +40,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),  # maximal runs, as [0-9a-f]+ finds them, without the short ones
 )
+# A private key with its body: up to its END mark if no other mark stands before it, else the lines of key headers and base64 below. Every
+# repetition is possessive, so the regex engine walks long bodies in a loop and never backs out of one.
+_LINES = r"(?:[ \t\r]*+\n[ \t]*+(?:[A-Za-z-]++: [^\n]*+|[A-Za-z0-9+/=]*+)(?=[ \t\r]*+(?![^\n])))*+"
+PRIVATE_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|" + _LINES + ")")
 RULES = BASE + (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("private_key", PRIVATE_KEY, 0, 1),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
 )
 
-# For redaction: a private key with its body up to the END line or, without one, with the lines of key headers and base64 below it.
-MASKED = tuple(r for r in RULES if r.kind != "private_key") + (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*(?:-(?!----)[^-]*){0,64}-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
-         r"|(?:[ \t\r]*\n[ \t]*(?:[A-Za-z-]+: [^\n]*|[A-Za-z0-9+/=]*(?![^\r\n])))*)", 0, 1),
-)
-
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """An OR of ANDs of lower-case trigrams that every text with a match satisfies; a clause without trigrams is always true."""
