@@ -30,14 +30,15 @@ from pyspark.sql import types as T
 from .common import released, written
 
 CAPACITY, GROUPS, SMALL = 2048, (96, 48, 24, 12), 8
-KEPT_WORDS, BATCH_CHARS = 400_000, 6_000_000
+KEPT_WORDS, BATCH_CHARS = 120_000, 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
     """Token ids of texts as little-endian bytes. A single space with non-spaces on both sides is a token boundary for byte-level BPE with
     leading spaces, so runs between such spaces are encoded once and remembered. Runs of Latin letters and signs, which every release of
-    Unicode splits alike, are encoded by the quicker of two libraries over the same vocabulary; all others by `tokenizers`."""
+    Unicode splits alike, are encoded by the quicker of two libraries over the same vocabulary; all others by `tokenizers`. A text that holds
+    one of the vocabulary's own marks is given to `tokenizers` as it is."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,8 +46,8 @@ class WordIds:
         import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.marks = sorted(special)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
         letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
         ranks = {bytes(letters[c] for c in token): number for token, number in self.tokenizer.get_vocab().items() if token not in special}
@@ -93,7 +94,18 @@ class WordIds:
         out.append(held)
         return out
 
+    def forget(self) -> None:
+        self.known, self.after = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, t in enumerate(texts) if any(m in t for m in self.marks)]
+        hidden = set(marked)
+        out = self._unmarked([t if i not in hidden else "" for i, t in enumerate(texts)] if marked else texts)
+        for i in marked:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
+
+    def _unmarked(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         spaced = set()
         for runs in cut:
@@ -136,6 +148,12 @@ def pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
 
     def made(batches):
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, WordIds(vocabulary))
+        try:
+            yield from encoded(encoder, batches)
+        finally:
+            encoder.forget()  # a worker that waits for its next task keeps the vocabulary only
+
+    def encoded(encoder, batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sizes = np.cumsum([len(t) for t in texts]) // BATCH_CHARS

@@ -10,7 +10,7 @@ import pytest
 from arealytics.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", None, "a", " a", "a ", "  a  b", "x\n y", "x \n y", "a\tb c", "é  ü 'll don't  ", "<|endoftext|> x", "a　b c", "日本 語\nкак дела 'S it's\r\n\r\n x",
+TEXTS = ["", None, "a", " a", "a ", "  a  b", "x\n y", "x \n y", "a\tb c", "é  ü 'll don't  ", "<|endoftext|> x", "hello <|endoftext|> x", "a<|endoftext|>b  <|endoftext|>", "a　b c", "日本 語\nкак дела 'S it's\r\n\r\n x",
          "\x85 \xa0a b  c", "\n", "a\n\nb c\n", "word " * 3000, "long" * 9000 + " tail"]
 
 
@@ -18,7 +18,6 @@ TEXTS = ["", None, "a", " a", "a ", "  a  b", "x\n y", "x \n y", "a\tb c", "é
 def plain():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -28,6 +27,7 @@ def test_ids_equal_the_tokenizer(plain):
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(600)]
     got = encoder.encode(texts) + encoder.encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(t) for t in texts] * 2
+    assert 50256 in plain("hello <|endoftext|> x")  # the plain call reads the vocabulary's own mark
 
 
 def test_plans_are_exact_and_close_to_the_bound():
