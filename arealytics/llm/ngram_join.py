@@ -46,12 +46,15 @@ def choose_bands(threshold: float, recall: float, most: int = 256) -> tuple[int,
 
 
 def small_batches(batches):
-    """Batches of few rows; the words remembered for hashing stay bounded."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, PART_ROWS):
-            if len(_WORD) > KEPT_WORDS:
-                _WORD.clear()
-            yield batch.slice(at, PART_ROWS)
+    """Batches of few rows; the words remembered for hashing stay bounded and go with the task."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART_ROWS):
+                if len(_WORD) > KEPT_WORDS:
+                    _WORD.clear()
+                yield batch.slice(at, PART_ROWS)
+    finally:
+        _WORD.clear()
 
 
 def grams(text: str, n: int) -> np.ndarray:
