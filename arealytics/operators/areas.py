@@ -107,17 +107,10 @@ def _assign_by_entry(points: DataFrame, entries: DataFrame, levels: list[int], x
     return points.join(inside, points["_row"] == inside["_id"], "left").drop("_id")
 
 
-def polygon_pieces(layer: tuple[DataFrame, DataFrame], key: str, other_levels: list[int], keep: list[str]) -> DataFrame:
-    """A feature as signed trapezoids inside cells: x range, heights above the cell's bottom at both ends, and sign.
-
-    Inside one cell the feature's area is the sum of its pieces. A piece is either a part of an edge or a stretch of the cell's
-    top side that is inside the feature, so no piece depends on edges outside its cell.
-    """
-    spread, edges = (tiling.at_levels(frame, other_levels) for frame in layer)
-    ids = [key, "own", *keep]
+def edge_pieces(edges: DataFrame, ids: list[str]) -> DataFrame:
+    """Parts of edges inside cells, as x ranges with the heights above the cell's bottom at both ends; upright edges have none."""
     size = F.col("size")
-
-    # Parts of edges. A level edge that lies on a cell line belongs to the row below, where it has height.
+    # A level edge that lies on a cell line belongs to the row below, where it has height.
     slanted = tiling.cell_edges(edges.filter("y1 < y2"))
     level_edges = edges.filter("y1 = y2").withColumn("row", F.ceil(F.col("y1") / size) - 1).withColumn(
         "col", F.explode(F.sequence(F.floor(F.col("x1") / size), F.floor(F.col("x2") / size))))
@@ -125,7 +118,7 @@ def polygon_pieces(layer: tuple[DataFrame, DataFrame], key: str, other_levels: l
 
     def clamp(value):
         return F.least(F.greatest(value, F.lit(0.0)), size)
-    parts = (slanted.unionByName(level_edges).filter("x1 <> x2")
+    return (slanted.unionByName(level_edges).filter("x1 <> x2")
              .withColumn("slope", (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
              .withColumn("cut0", F.col("x1") + F.try_divide(bottom - F.col("y1"), F.col("slope")))
              .withColumn("cut1", F.col("cut0") + F.try_divide(size, F.col("slope")))
@@ -137,6 +130,18 @@ def polygon_pieces(layer: tuple[DataFrame, DataFrame], key: str, other_levels: l
              .select(*ids, *CELL, "xa", "xb", "ha", "hb",
                      F.when(F.col("x2") > F.col("x1"), -F.col("way")).otherwise(F.col("way")).alias("sign")))
 
+
+def polygon_pieces(layer: tuple[DataFrame, DataFrame], key: str, other_levels: list[int], keep: list[str]) -> DataFrame:
+    """A feature as signed trapezoids inside cells: x range, heights above the cell's bottom at both ends, and sign.
+
+    Inside one cell the feature's area is the sum of its pieces. A piece is either a part of an edge or a stretch of the cell's
+    top side that is inside the feature, so no piece depends on edges outside its cell.
+    """
+    spread, edges = (tiling.at_levels(frame, other_levels) for frame in layer)
+    ids = [key, "own", *keep]
+    size = F.col("size")
+    parts = edge_pieces(edges, ids)
+
     # Stretches of the top side: the corner flag of the cell above, changed where edges cross the line.
     events = tiling.line_events(edges)
     flags = tiling.corner_flags(spread, events, ids).filter("winding <> 0").withColumn("size", tiling.cell_size(F.col("level")))

@@ -18,11 +18,14 @@ def _height(x: Column) -> Column:
     return F.col("ha") + (x - F.col("xa")) * (F.col("hb") - F.col("ha")) / (F.col("xb") - F.col("xa"))
 
 
-def slabs(pieces: DataFrame, group: list[str]) -> DataFrame:
-    """The pieces cut at all piece ends of their group: x0, x1 and the heights h0, h1 there."""
+def slabs(pieces: DataFrame, group: list[str], marks: DataFrame | None = None) -> DataFrame:
+    """The pieces cut at all piece ends of their group, and at its marks (group, x): x0, x1 and the heights h0, h1 there."""
     # Adding zero makes -0.0 and 0.0 one number, so that ends are found again.
     clean = pieces.filter("xa < xb").withColumns({c: F.col(c) + 0.0 for c in ("xa", "xb")})
-    ends = clean.groupBy(*group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("xa", "xb"))))).alias("xs"))
+    every = clean.select(*group, F.array("xa", "xb").alias("x"))
+    if marks is not None:
+        every = every.unionByName(marks.select(*group, F.array("x").alias("x")))
+    ends = every.groupBy(*group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("x")))).alias("xs"))
     at = F.explode(F.sequence(F.array_position("xs", F.col("xa")).cast("int"), F.array_position("xs", F.col("xb")).cast("int") - 1))
     cut = clean.join(ends, group).withColumn("at", at)
     cut = cut.withColumn("x0", F.element_at("xs", F.col("at"))).withColumn("x1", F.element_at("xs", F.col("at") + 1)).drop("xs", "at")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..session import durable
 from . import tiling
+from .validity import ring_problems as ring_problems
 
 
 def intersections_of_lines(lines: DataFrame, geom: str = "line", digits: int = 7, min_legs: int = 3) -> DataFrame:
@@ -69,30 +70,3 @@ def row_weights(pairs: DataFrame) -> DataFrame:
     """Row-standardised weights: each of an area's k neighbours weighs 1 / k."""
     k = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("k"))
     return pairs.join(k, "i").select("i", "j", (F.lit(1.0) / F.col("k")).alias("w"))
-
-
-def ring_problems(features: DataFrame, key: str, geom: str = "geom") -> DataFrame:
-    """Why a feature's rings are not valid: `open`, `short`, `flat` or `crossing` (one row per feature and problem)."""
-    rings = (features.select(F.col(key).alias("key"), F.posexplode(F.col(geom)).alias("part", "rings"))
-             .select("key", "part", F.posexplode("rings").alias("nth", "ring")))
-    first, last = F.get("ring", F.lit(0)), F.get("ring", F.size("ring") - 1)
-    simple = rings.select("key", F.explode(F.filter(F.array(
-        F.when(first != last, F.lit("open")),
-        F.when(F.size("ring") < 4, F.lit("short")),
-        F.when(geo.ring_area(F.col("ring")) == 0, F.lit("flat"))), lambda p: p.isNotNull())).alias("problem"))
-
-    one = rings.select(F.struct("key", "part", "nth").alias("ring_id"), F.array(F.array("ring")).alias("geom"))
-    _, edges = tiling.tile_layer(one, "ring_id", "geom")
-    cut = tiling.cell_edges(edges).drop("size", "way")
-    e = ["x1", "y1", "x2", "y2"]
-    other = cut.withColumnsRenamed({c: f"o_{c}" for c in e})
-    a, b = {c: F.col(c) for c in e}, {c: F.col(f"o_{c}") for c in e}
-
-    def side(p, q):
-        return F.sign((p["x2"] - p["x1"]) * (q[1] - p["y1"]) - (p["y2"] - p["y1"]) * (q[0] - p["x1"]))
-
-    def splits(p, q):
-        return side(p, (q["x1"], q["y1"])) * side(p, (q["x2"], q["y2"])) < 0
-    crossing = (cut.join(other, ["ring_id", *tiling.CELL])
-                .filter(splits(a, b) & splits(b, a)).select(F.col("ring_id.key").alias("key"), F.lit("crossing").alias("problem")))
-    return simple.unionByName(crossing).distinct().withColumnRenamed("key", key)

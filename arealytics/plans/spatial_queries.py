@@ -282,3 +282,25 @@ def ring_problems(spark, sf):
              .otherwise(ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))
     rings = table(spark, sf, "part").select(key.alias("id"), F.array(F.array(shape)).alias("geom"))
     return network.ring_problems(rings, "id")
+
+
+@query("ring_relations", """SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 1 THEN 'hole_outside' WHEN 2 THEN 'rings_cross' WHEN 3 THEN 'hole_in_hole' WHEN 4 THEN 'parts_overlap' WHEN 5 THEN 'rings_cross'
+    ELSE 'crossing' END AS problem FROM part WHERE p_partkey % 7 <> 0""")
+def ring_relations(spark, sf):
+    """Shells with sound holes, holes outside, over the border or in each other, parts in and over each other, and a ring through its own upright side."""
+    key = F.col("p_partkey")
+    x, y, size = (key % 97).cast("double") / 3, (key % 89).cast("double") / 7, (key % 5 + 1).cast("double")
+
+    def ring(*corners):
+        return F.array(*[F.struct((F.col("x") + F.col("size") * a).alias("x"), (F.col("y") + F.col("size") * b).alias("y")) for a, b in corners])
+
+    def square(a, b, c, d):
+        return ring((a, b), (c, b), (c, d), (a, d), (a, b))
+    shell, tilted = square(0, 0, 6, 6), ring((1, 3), (3, 1), (5, 3), (3, 5), (1, 3))
+    kind = F.col("kind")
+    shape = (F.when(kind == 0, F.array(F.array(shell, tilted), F.array(square(7, 0, 8, 1)), F.array(square(2.5, 2.5, 3.5, 3.5)))).when(kind == 1, F.array(F.array(shell, square(7, 7, 8, 8))))
+             .when(kind == 2, F.array(F.array(shell, square(4, 4, 8, 5)))).when(kind == 3, F.array(F.array(shell, tilted, square(2.5, 2.5, 3.5, 3.5))))
+             .when(kind == 4, F.array(F.array(shell), F.array(tilted))).when(kind == 5, F.array(F.array(tilted), F.array(square(0, 2.5, 9, 3))))
+             .otherwise(F.array(F.array(ring((0, 0), (6, 0), (6, 6), (7, 3), (4, 3), (0, 6), (0, 0))))))
+    shapes = table(spark, sf, "part").select(key.alias("id"), (key % 7).alias("kind"), x.alias("x"), y.alias("y"), size.alias("size"))
+    return network.ring_problems(shapes.select("id", shape.alias("geom")), "id")
