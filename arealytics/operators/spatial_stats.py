@@ -1,17 +1,18 @@
 """Moran statistics on sparse weights (i, j, w), with repeatable permutation tests.
 
-Shuffles are orders of md5(seed, replicate, area), so a result depends on the data and the seed only, not on partitions.
+Shuffles are bijections of the areas' places, keyed by md5(seed, replicate, round), so a result depends on the data and the seed only, not on
+partitions.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import hotspot_label
 from ..session import broadcast_if_small, durable, only_row
 from .ranking import ranked
 
-_GROUP_LIMIT = 900
+ROUNDS, PRIME = 32, 2 ** 31 - 1
 
 
 def require_standardised(values: DataFrame, z: str = "z") -> DataFrame:
@@ -43,12 +44,27 @@ def global_moran(values: DataFrame, weights: DataFrame, code: str = "code", z: s
                        / F.sum(F.col(z) * F.col(z))).alias("morans_i"))
 
 
-def shuffle_key(seed: int, rep: Column, code: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), code.cast("string")))
+def replicate_keys(spark: SparkSession, permutations: int, seed: int) -> DataFrame:
+    """(rep, keys): the round keys of each replicate's shuffle, below 2**28. One row per replicate, whatever the number of areas."""
+    reps = spark.range(1, permutations + 1).select(F.col("id").cast("int").alias("rep"))
+    digest = lambda r: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), r.cast("string")))
+    return reps.select("rep", F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.conv(F.substring(digest(r), 1, 7), 16, 10).cast("long")).alias("keys"))
 
 
-def _replicates(values: DataFrame, permutations: int) -> DataFrame:
-    return values.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+def shuffled_place(place: Column, n: int, keys: Column) -> Column:
+    """Where a shuffle puts a place (0 to n - 1). Each round pairs every place with one other and swaps a pair or not by a bit of both, so a
+    place is moved by arithmetic on its own row: nothing is sorted. The keys in reverse order give the inverse."""
+    def swap(x, k):
+        other = F.pmod(k - x, F.lit(n).cast("long"))
+        mixed = (F.greatest(x, other) + k) % PRIME
+        return F.when(F.shiftright(mixed * mixed % PRIME, 8).bitwiseAND(1) == 1, other).otherwise(x)
+    return F.aggregate(keys, place.cast("long"), swap)
+
+
+def _replicates(values: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every row with every replicate and its keys."""
+    reps = F.explode(F.sequence(F.lit(1), F.lit(keys.count()).cast("int"))).alias("rep")
+    return values.select("*", reps).join(F.broadcast(keys), "rep")
 
 
 def global_moran_p(values: DataFrame, weights: DataFrame, permutations: int = 999, seed: int = 20260926,
@@ -56,11 +72,11 @@ def global_moran_p(values: DataFrame, weights: DataFrame, permutations: int = 99
     """One row: observed I and its two-sided p-value (1 + number at least as extreme) / (1 + permutations)."""
     base = require_standardised(values.select(F.col(code).alias("code"), F.col(z).alias("z")))
     places = ranked(base, [F.col("code").asc()], name="place")
-    shuffled = (ranked(_replicates(places, permutations).withColumn("key", shuffle_key(seed, F.col("rep"), F.col("code"))),
-                       [F.col("key").asc(), F.col("code").asc()], by=["rep"], name="slot")
-                .select("rep", F.col("slot").alias("place"), "z"))
+    size = only_row(base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz")))
+    moved = shuffled_place(F.col("place") - 1, size["n"], F.col("keys")) + 1
+    shuffled = _replicates(places, replicate_keys(values.sparkSession, permutations, seed)).select("rep", moved.alias("place"), "z")
     # Replicate 0 is the observed order. Both directions of a pair share one product, so their weights are added first.
-    drawn = shuffled.unionByName(places.select(F.lit(0).alias("rep"), "place", "z"))
+    drawn = shuffled.unionByName(places.select(F.lit(0).alias("rep"), F.col("place").cast("long").alias("place"), "z"))
     spots = places.select("code", "place")
     low, high = F.least("pi", "pj"), F.greatest("pi", "pj")
     pairs = (weights.join(spots.select(F.col("code").alias("i"), F.col("place").alias("pi")), "i")
@@ -69,7 +85,6 @@ def global_moran_p(values: DataFrame, weights: DataFrame, permutations: int = 99
     products = (pairs.join(drawn.select("rep", F.col("place").alias("lo"), F.col("z").alias("za")), "lo")
                 .join(drawn.select("rep", F.col("place").alias("hi"), F.col("z").alias("zb")), ["rep", "hi"])
                 .groupBy("rep").agg(F.sum(F.col("w") * F.col("za") * F.col("zb")).alias("cross")))
-    size = only_row(base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz")))
     total = only_row(weights.agg(F.sum("w").alias("w")))["w"]
     per_rep = products.select("rep", (F.col("cross") * (size["n"] / size["zz"] / total)).alias("stat"))
     observed = F.max(F.when(F.col("rep") == 0, F.col("stat")))
@@ -83,24 +98,23 @@ def local_moran_p(local: DataFrame, permutations: int = 999, seed: int = 2026092
     """Add `p_value` to a local Moran frame with row-standardised weights.
 
     An area keeps its own value and draws k of the others for its k neighbours. Each replicate's order starts the same for all
-    areas, so only its first k + 1 areas are needed: their running sums, with the area itself skipped, give each mean.
+    areas, so only the areas at its first k + 1 places are needed, which the inverse shuffle names: their running sums, with the area itself
+    skipped, give each mean.
     """
-    base = durable(local.select(F.col(code).alias("code"), F.col(z).alias("z"), F.col("neighbours").alias("k"), F.col("local_i")))
-    most = base.agg(F.max("k")).first()[0] or 0
-    keyed = _replicates(base.select("code", "z"), permutations).withColumn("key", shuffle_key(seed, F.col("rep"), F.col("code")))
-    order = Window.partitionBy("rep").orderBy("key", "code")
-    if most < _GROUP_LIMIT:  # a literal limit below Spark's own threshold is applied in each partition before the shuffle
-        slotted = keyed.withColumn("slot", F.row_number().over(order))
-    else:
-        slotted = ranked(keyed, [F.col("key").asc(), F.col("code").asc()], by=["rep"], name="slot")
-    heads = durable(slotted.filter(F.col("slot") <= most + 1))
-    sums = heads.withColumn("upto", F.sum("z").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("rep", "slot", "upto")
-    own = heads.select("rep", "code", F.col("slot").alias("own_slot"))
-
-    tests = _replicates(base.filter("k > 0"), permutations)
-    placed = tests.join(broadcast_if_small(own), ["rep", "code"], "left")
-    drawn = F.coalesce(F.col("own_slot") <= F.col("k"), F.lit(False))
-    need = placed.withColumn("skip", drawn).withColumn("slot", F.col("k") + F.col("skip").cast("int"))
+    base = local.select(F.col(code).alias("code"), F.col(z).alias("z"), F.col("neighbours").alias("k"), F.col("local_i"))
+    base = durable(ranked(base, [F.col("code").asc()], name="place"))
+    facts = only_row(base.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("most")))
+    n, most = facts["n"], facts["most"] or 0
+    keys = replicate_keys(local.sparkSession, permutations, seed)
+    slots = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(min(most, max(n - 1, 0))))).alias("slot"))
+    named = slots.select("rep", "slot", (shuffled_place(F.col("slot"), n, F.reverse("keys")) + 1).alias("place"))
+    heads = named.join(broadcast_if_small(base.select(F.col("place").cast("long").alias("place"), "z")), "place")
+    order = Window.partitionBy("rep").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    sums = durable(heads.select("rep", "slot", F.sum("z").over(order).alias("upto")))
+
+    tests = _replicates(base.filter("k > 0"), keys).withColumn("own", shuffled_place(F.col("place") - 1, n, F.col("keys"))).drop("keys")
+    # The k draws end at slot k - 1, or one later where the area itself stands among them.
+    need = tests.withColumn("skip", F.col("own") < F.col("k")).withColumn("slot", (F.col("k") - 1 + F.col("skip").cast("int")).cast("int"))
     sims = need.join(broadcast_if_small(sums), ["rep", "slot"]).withColumn(
         "sim", F.col("z") * (F.col("upto") - F.when(F.col("skip"), F.col("z")).otherwise(0.0)) / F.col("k"))
     extreme = F.count_if(F.round(F.abs("sim"), 9) >= F.round(F.abs("local_i"), 9))

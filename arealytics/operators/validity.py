@@ -20,8 +20,8 @@ RING = ["key", "pno", "rno"]
 _NEAR = 1e-9
 
 
-def _rings(features: DataFrame, key: str, geom: str) -> DataFrame:
-    return (features.select(F.col(key).alias("key"), F.posexplode(F.col(geom)).alias("pno", "rings"))
+def _rings(features: DataFrame) -> DataFrame:
+    return (features.select("key", F.posexplode("geom").alias("pno", "rings"))
             .select("key", "pno", F.posexplode("rings").alias("rno", "ring")))
 
 
@@ -98,15 +98,17 @@ def ring_problems(features: DataFrame, key: str, geom: str = "geom") -> DataFram
     Of one ring: `open`, `short`, `flat`, `crossing` (itself). Of rings that do not cross themselves: `rings_cross`. Of rings that cross nothing:
     `hole_outside` its shell, `hole_in_hole`, and `parts_overlap` (a part that lies in another one).
     """
-    rings = _rings(features, key, geom)
+    # Written first: every step below reads the geometry, and none should carry the expressions that made it.
+    features = durable(features.select(F.col(key).alias("key"), F.col(geom).alias("geom")))
+    rings = _rings(features)
     first, last = F.get("ring", F.lit(0)), F.get("ring", F.size("ring") - 1)
     simple = rings.select("key", F.explode(F.filter(F.array(
         F.when(first != last, F.lit("open")),
         F.when(F.size("ring") < 4, F.lit("short")),
         F.when(geo.ring_area(F.col("ring")) == 0, F.lit("flat"))), lambda p: p.isNotNull())).alias("problem"))
 
-    sized = tiling.with_levels(features.select(F.col(key).alias("key"), F.col(geom).alias("geom")), "geom").select("key", "level", F.posexplode("geom").alias("pno", "rings"))
-    placed = sized.select("key", "level", "pno", F.posexplode("rings").alias("rno", "ring")).filter(F.size("ring") > 0)
+    sized = tiling.with_levels(features, "geom").select("key", "level", F.posexplode("geom").alias("pno", "rings"))
+    placed = durable(sized.select("key", "level", "pno", F.posexplode("rings").alias("rno", "ring")).filter(F.size("ring") > 0))
     edges = durable(tiling.explode_edges(placed.withColumn("geom", F.array(F.array("ring"))), "geom", RING))
     own = durable(crossing_rings(edges, RING).select(*RING).distinct())
     several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")

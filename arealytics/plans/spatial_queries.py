@@ -104,7 +104,8 @@ def area_shares_crossed(spark, sf):
     kind = F.col("kind")
     shape = (F.when(kind == 0, ring((-1, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))).when(kind == 1, ring(*outer, *inner, (-1, -1)))
              .when(kind == 2, ring((-1, 0), (0, -1), (1, 0), (0, 1), (-1, 0))).otherwise(ring((-1, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))))
-    shapes = table(spark, sf, "part").select(key.alias("id"), (key % 4).alias("kind"), cx.alias("cx"), a.alias("a"), b.alias("b")).select("id", F.array(F.array(shape)).alias("geom"))
+    shapes = table(spark, sf, "part").select(key.alias("id"), (key % 4).alias("kind"), cx.alias("cx"), a.alias("a"), b.alias("b"))
+    shapes = durable(shapes.select("id", F.array(F.array(shape)).alias("geom")))
     edge = (F.col("s_suppkey") - 1) * F.lit(2.0)
     strips = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), geo.rectangle(edge, F.lit(-4.0), edge + 2, F.lit(4.0)).alias("geom"))
     shares = joins.area_shares(shapes, strips).filter("area_share > 1e-9")
@@ -233,21 +234,25 @@ def morans_local(spark, sf):
 
 
 REPS, SEED = 999, 20260926
-
-
-@query("morans_p", f"""WITH {MORAN_SQL}, pl AS (SELECT code, z, row_number() OVER (ORDER BY code) AS place FROM z),
-    sh AS (SELECT rep, z, row_number() OVER (PARTITION BY rep ORDER BY md5('{SEED}:' || rep || ':' || code), code) AS place FROM pl, (SELECT unnest(range(1, {REPS + 1})) AS rep) t),
-    wp AS (SELECT a.place AS pi, b.place AS pj, w FROM wt JOIN pl a ON a.code = i JOIN pl b ON b.code = j),
-    st AS (SELECT a.rep, sum(w * a.z * b.z) AS cross FROM wp JOIN sh a ON a.place = pi JOIN sh b ON b.place = pj AND a.rep = b.rep GROUP BY a.rep),
-    ob AS (SELECT sum(w * a.z * b.z) AS cross FROM wp JOIN pl a ON a.place = pi JOIN pl b ON b.place = pj),
+# The shuffles spelled out: the keys of every replicate and, per area, where its place goes.
+SHUFFLE_SQL = f"""pl AS (SELECT code, z, row_number() OVER (ORDER BY code) - 1 AS pos FROM z), nn AS (SELECT count(*) AS n FROM z),
+    ky AS (SELECT rep, list(('0x' || substr(md5('{SEED}:' || rep || ':' || r), 1, 7))::BIGINT ORDER BY r) AS ks
+      FROM (SELECT unnest(range(1, {REPS + 1})) AS rep) a, (SELECT unnest(range(1, {spatial_stats.ROUNDS + 1})) AS r) b GROUP BY rep),
+    sh AS (SELECT rep, code, z, n, list_reduce(list_prepend(pos, ks), lambda x, k: CASE WHEN ((((greatest(x, ((k - x) % n + n) % n) + k) % {spatial_stats.PRIME})
+      * ((greatest(x, ((k - x) % n + n) % n) + k) % {spatial_stats.PRIME})) % {spatial_stats.PRIME} >> 8) & 1 = 1 THEN ((k - x) % n + n) % n ELSE x END) AS slot FROM pl, ky, nn)"""
+
+
+@query("morans_p", f"""WITH {MORAN_SQL}, {SHUFFLE_SQL},
+    wp AS (SELECT a.pos AS pi, b.pos AS pj, w FROM wt JOIN pl a ON a.code = i JOIN pl b ON b.code = j),
+    st AS (SELECT a.rep, sum(w * a.z * b.z) AS cross FROM wp JOIN sh a ON a.slot = pi JOIN sh b ON b.slot = pj AND a.rep = b.rep GROUP BY a.rep),
+    ob AS (SELECT sum(w * a.z * b.z) AS cross FROM wp JOIN pl a ON a.pos = pi JOIN pl b ON b.pos = pj),
     sc2 AS (SELECT count(*) / sum(z * z) / (SELECT sum(w) FROM wt) AS f FROM z)
     SELECT round(any_value(ob.cross * f), 6) AS morans_i, (1 + count(*) FILTER (WHERE round(abs(st.cross * f), 9) >= round(abs(ob.cross * f), 9))) / {REPS + 1} AS p_value FROM st, ob, sc2""")
 def morans_p(spark, sf):
     return spatial_stats.global_moran_p(_z(spark, sf), _weights(spark, sf), REPS, SEED).select(F.round("morans_i", 6).alias("morans_i"), "p_value")
 
 
-@query("hotspot_labels", f"""WITH {MORAN_SQL}, ord AS (SELECT rep, code, z, row_number() OVER (PARTITION BY rep ORDER BY md5('{SEED}:' || rep || ':' || code), code) AS slot
-      FROM z, (SELECT unnest(range(1, {REPS + 1})) AS rep) t),
+@query("hotspot_labels", f"""WITH {MORAN_SQL}, {SHUFFLE_SQL}, ord AS (SELECT rep, code, z, slot + 1 AS slot FROM sh),
     dr AS (SELECT l.code, o.rep, o.z, row_number() OVER (PARTITION BY l.code, o.rep ORDER BY o.slot) AS d, l.k, l.z AS own, l.z * l.nm AS li
       FROM lg l JOIN ord o ON o.code <> l.code AND o.slot <= l.k + 1),
     sm AS (SELECT code, rep, own * sum(z) / any_value(k) AS sim, any_value(li) AS li FROM dr WHERE d <= k GROUP BY code, rep, own),

@@ -207,3 +207,44 @@ def test_shares_with_one_large_feature_in_each_layer(spark):
     got = {(r["id"], r["area_code"]): r["overlap"] for r in shares.collect()}
     want = {(i, i): 1.0 for i in range(1, 12)} | {(0, i): 1.0 for i in range(1, 12)} | {(i, 0): 1.0 for i in range(1, 12)} | {(0, 0): 8100.0}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_shuffles_are_bijections_with_inverses(spark, n):
+    keys = spatial_stats.replicate_keys(spark, 20, 5)
+    moved = spark.range(n).crossJoin(keys).withColumn("to", spatial_stats.shuffled_place(F.col("id"), n, F.col("keys")))
+    moved = moved.withColumn("back", spatial_stats.shuffled_place(F.col("to"), n, F.reverse("keys"))).select("rep", "id", "to", "back").collect()
+    by_rep = {}
+    for r in moved:
+        assert r["back"] == r["id"]
+        by_rep.setdefault(r["rep"], {})[r["id"]] = r["to"]
+    assert all(sorted(m.values()) == list(range(n)) for m in by_rep.values())
+    if n == 1000:  # places spread evenly, and neighbours do not stay neighbours
+        near = [abs(m[i] - m[i + 1]) == 1 for m in by_rep.values() for i in range(n - 1)]
+        low = [m[i] < 500 for m in by_rep.values() for i in range(500)]
+        assert sum(near) / len(near) < 0.006 and abs(sum(low) / len(low) - 0.5) < 0.02
+
+
+def test_local_p_of_a_hub_with_two_thousand_neighbours(spark):
+    n = 2101
+    mean, sd = (n - 1) / 2, math.sqrt((n * n - 1) / 12)
+    values = spark.createDataFrame([(i, (i - mean) / sd) for i in range(n)], "code long, z double")
+    pairs = spark.range(1, 2001).selectExpr("0L i", "id j").unionByName(spark.range(1, 2001).selectExpr("id i", "0L j"))
+    local = spatial_stats.local_moran(values, network.row_weights(pairs))
+    got = {r["code"]: (r["neighbours"], r["p_value"]) for r in spatial_stats.local_moran_p(local, 19, 3).collect()}
+    keys = {r["rep"]: r["keys"] for r in spatial_stats.replicate_keys(spark, 19, 3).collect()}
+
+    def place(x, ks):
+        for k in ks:
+            other = (k - x) % n
+            mixed = (max(x, other) + k) % spatial_stats.PRIME
+            x = other if mixed * mixed % spatial_stats.PRIME >> 8 & 1 else x
+        return x
+    z = lambda i: (i - mean) / sd
+    for code, k, seen in ((0, 2000, sum(z(i) for i in range(1, 2001)) / 2000), (7, 1, z(0))):
+        sims = []
+        for ks in keys.values():
+            drawn = [a for a in (place(s, ks[::-1]) for s in range(k + 1)) if a != code][:k]
+            sims.append(z(code) * sum(map(z, drawn)) / k)
+        want = (1 + sum(round(abs(s), 9) >= round(abs(z(code) * seen), 9) for s in sims)) / 20
+        assert got[code] == (k, pytest.approx(want))
