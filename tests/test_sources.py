@@ -274,3 +274,47 @@ def test_a_failed_run_leaves_the_release_and_a_repeated_one_the_log(spark, tmp_p
     for wrong in ("", "..", "a/b"):
         with pytest.raises(ValueError):
             releases.publish(spark, {"one": frame}, folder, wrong)
+
+
+def test_features_of_one_long_line_over_many_splits(spark, tmp_path):
+    import random
+    rng = random.Random(1)
+    tricky = ['}', '{', '"', '\\', '\\"}{', 'a } b', '{"type": "Feature"}', 'é {', "", '\\\\', "FeatureCollection"]
+    made = {}
+    for f in range(6):
+        rows = [{"type": "Feature", "id": rng.choice(tricky), "properties": {"Code": 1000 * f + i, "name": "".join(rng.choice(tricky) for _ in range(3)), "deep": {"a": {"b": rng.choice(tricky)}}},
+                 "geometry": rng.choice([None, {"type": "Point", "coordinates": [i, f]}])} for i in range(40)]
+        made.update({r["properties"]["Code"]: r["properties"]["name"] for r in rows})
+        if f < 4:
+            document = {"type": "FeatureCollection", "name": "x } { y", "crs": {"type": "name", "properties": {"name": "c"}}, "features": rows, "after": {"k": "}"}}
+            text = json.dumps(document, indent=f // 2 * 2 or None, ensure_ascii=f % 2 == 0) + ("\n" if f else "")
+        else:
+            text = "\n".join(json.dumps(r, indent=f % 2 or None) for r in rows)
+        (tmp_path / f"{f}.geojson").write_text(("﻿" if f == 1 else "") + text, encoding="utf-8")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("301b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = files.read_geojson(spark, str(tmp_path), {"code": "bigint", "name": "string"}).collect()
+            assert sorted(r["code"] for r in got) == sorted(made) and all(made[r["code"]] == r["name"] for r in got), size
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_digests_of_files_cut_over_splits(spark, tmp_path):
+    import os
+    from arealytics.sources import pieces
+    contents = {"a": b"", "b": b"\n", "c": b"x", "d": b"x\n", "e": b"\n\nx\r\n\n", "f": os.urandom(50_000), "g": b"long " * 40_000, "sub/h": b"\xff\xfe\n" * 3000}
+    (tmp_path / "sub").mkdir()
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r["path"].split(tmp_path.name + "/")[1]: r["sha256"] for r in pieces.file_digests(spark, str(tmp_path)).collect()}
+            assert got == {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
