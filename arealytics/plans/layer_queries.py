@@ -8,7 +8,7 @@ from ..functions import geometry as geo
 from ..operators import contracts, spatial_stats
 from ..operators.ranking import ranked
 from ..session import durable, only_row, scratch_folder
-from ..sources import files, sinks, tables
+from ..sources import files, runs, sinks, tables
 from .areas import table
 from .spatial_queries import MORAN_SQL, _weights, _z
 
@@ -126,3 +126,31 @@ def geometry_rules(spark, sf):
         polygon.alias("geom"), lines.alias("line"), F.when(k != 4, F.when(k == 5, 140.0).otherwise(151.0)).alias("lon"), F.lit(-34.0).alias("lat"))
     rules = contracts.Contract((contracts.Field("geom", "polygon"), contracts.Field("line", "line"), contracts.Field("place", "point", box=(150.0, -35.0, 152.0, -33.0))))
     return contracts.contract_failures(durable(frame), rules, "shapes").select("column", "rule", "n")
+
+
+def _loaded(spark, sf):
+    """Three sources: a sound one with two tables, one with a warning, and one that fails its checks."""
+    run = runs.Run(spark, scratch_folder(spark), "r1")
+    customers, suppliers = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    none = contracts.run_checks(customers, "customers", [contracts.Check(F.count(F.lit(1)), "{value} customers", low=0)])
+    few = contracts.run_checks(suppliers, "suppliers", [contracts.Check(F.lit(1), "one is few", "warn", low=2)])
+    bad = contracts.run_checks(suppliers, "broken", [contracts.Check(F.lit(1), "one is too few", low=2)])
+    records = {n: contracts.issue_record(issues, contracts.profile(frame, n), n) for n, issues, frame in (("customers", none, customers), ("suppliers", few, suppliers), ("broken", bad, suppliers))}
+    run.load("customers", "2031", {"all": customers, "rich": customers.filter("c_acctbal > 0")}, records["customers"], {"all": {"nation_3": F.count_if(F.col("c_nationkey") == 3)}})
+    run.load("suppliers", "2030", {"all": suppliers}, records["suppliers"])
+    run.load("broken", "2029", {"all": suppliers}, records["broken"])
+    return run
+
+
+@query("run_report", """SELECT 'customers' AS source, 'ok' AS status, '2031' AS release, 'all=' || (SELECT count(*) FROM customer) || ',rich=' || (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS rows, '' AS issues, '' AS reason
+    UNION ALL SELECT 'suppliers', 'ok', '2030', 'all=' || (SELECT count(*) FROM supplier), 'suppliers: one is few', ''
+    UNION ALL SELECT 'broken', 'failed', '2029', '', 'broken: one is too few', 'failed its checks: broken: one is too few'""")
+def run_report(spark, sf):
+    rows = F.array_join(F.array_sort(F.transform(F.map_entries("rows"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return _loaded(spark, sf).report().select("source", "status", "release", rows.alias("rows"), F.array_join("issues", "; ").alias("issues"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query("run_metrics", """SELECT 'customers' AS source, 'all.rows' AS metric, count(*) AS value FROM customer UNION ALL SELECT 'customers', 'all.nation_3', count(*) FILTER (c_nationkey = 3) FROM customer
+    UNION ALL SELECT 'customers', 'rich.rows', count(*) FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'suppliers', 'all.rows', count(*) FROM supplier""")
+def run_metrics(spark, sf):
+    return _loaded(spark, sf).metrics()
