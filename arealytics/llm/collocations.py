@@ -147,7 +147,9 @@ def frequent(chunks: DataFrame, least: int, bits: int) -> DataFrame:
         langs, phrases = zip(*held) if held else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(held.values(), pa.int64())], ["lang", "phrase", "f"])
 
-    found = chunks.mapInArrow(released(count), "lang string, phrase binary, f long")
+    # Every task hands on most frequent phrases once, so there are as many tasks as can run at a time, not as many as there are splits.
+    wide = chunks.coalesce(max(spark.sparkContext.defaultParallelism, 1))
+    found = wide.mapInArrow(released(count), "lang string, phrase binary, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 
