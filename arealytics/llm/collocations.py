@@ -28,7 +28,7 @@ from .words import Words, mix, parts
 
 ORDER, MARK, LANG_SEED = 5, b".", 7
 _FOLD = bytes(ord(".") if chr(b) in ".,;:!?\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-PART_BYTES, MOST_HELD = 3_000_000, 250_000
+PART_BYTES, MOST_HELD = 3_000_000, 400_000
 
 
 def stream_of(text: bytes) -> bytes:
@@ -207,8 +207,8 @@ def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return lowest.join(held, ["lang", "phrase", "a"], "left_anti").select("lang", "phrase", "a", "low.l", "low.r", "n", "low.score")
 
 
-def mine(documents: DataFrame, lang: str = "lang", text: str = "text", least: int = 100, top: int = 2000, spacing: int = 20, bits: int = 23) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases. `bits` sizes the counters (2**bits bytes per task while counting)."""
+def mine(documents: DataFrame, lang: str = "lang", text: str = "text", least: int = 100, top: int = 2000, spacing: int = 20, bits: int = 25) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases. `bits` sizes the counters (four times 2**bits bytes per task while counting)."""
     chunks = written(dictionary(documents, lang, text, spacing))
     counts = written(frequent(chunks, least, bits))
     totals = chunks.groupBy("lang").agg(F.sum(F.col("words") * F.col("n")).alias("n"))
