@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import released, written
 
 CAPACITY, GROUPS, SMALL = 2048, (96, 48, 24, 12), 8
-KEPT_WORDS, BATCH_CHARS = 120_000, 2_000_000
+KEPT_WORDS, BATCH_CHARS = 250_000, 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
