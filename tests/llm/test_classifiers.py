@@ -1,6 +1,9 @@
 """Held-out accuracy of toxicity and languages, and their defined edge cases."""
 import random
+import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from arealytics.llm import language_id, toxicity
@@ -89,3 +92,35 @@ def test_toxic_words_in_one_company_and_many_of_them(spark):
     rows += [(3 * i + k, prose(rng, 0, 20) + (" " + many[i * 2] if i % 2 else ""), i % 2) for k in (1, 2) for i in range(1200)]
     model, right = learnt_from(spark, rows)
     assert set(many) <= set(model.toxic.decode().split()) and right > 0.98
+
+
+def test_languages_equal_a_plain_computation(spark, make_documents):
+    rng = random.Random(7)
+    letters = {"aa": "abcde", "bb": "defgh", "cc": "éïöabç", "dd": "日本語中"}
+    rows = [(i, " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 25))) + rng.choice(["", " 12_3!", " X"]), k, "s")
+            for i, k in enumerate(rng.choice(list(letters)) for _ in range(80))]
+    rows += [(90, None, "aa", "s"), (91, "12 _ 3", "bb", "s"), (92, "abc def", None, "s"), (93, rows[0][1], rows[0][2], "s"), (None, "défi", "cc", "s")]
+
+    def bundle(text):
+        body = "  " + " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())) + " "
+        grams = [body[i:i + 3] for i in range(len(body) - 2) if body[i + 1] != " "]
+        vectors = [np.roll(language_id.letter(ord(a)), 2) * np.roll(language_id.letter(ord(b)), 1) * language_id.letter(ord(c)) for a, b, c in grams]
+        return np.sum(vectors, axis=0).astype(float) if grams else np.zeros(language_id.DIMENSIONS), len(grams)
+
+    sums = {}
+    for _, text, lang, _ in rows:
+        vector, n = bundle(text)
+        if lang is not None:
+            sums[lang] = sums.get(lang, 0) + vector / max(n, 1)
+    names = sorted(sums)
+    frame = make_documents(rows).repartition(4)
+    got = language_id.predict(frame, language_id.learn(frame)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        vector, n = bundle(r["text"])
+        near = [float(vector @ sums[k]) / (np.linalg.norm(vector) * np.linalg.norm(sums[k])) if n else -1 for k in names]
+        if not n:
+            assert tuple(r["language"]) == ("und", 0.0)
+            continue
+        assert r["language"]["score"] == pytest.approx((1 + max(near)) / 2, abs=1e-5)
+        assert near[names.index(r["language"]["lang"])] == pytest.approx(max(near), abs=1e-5)
