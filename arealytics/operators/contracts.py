@@ -199,12 +199,13 @@ def missing_measures(frame: DataFrame, measures: Sequence[str], key: str) -> Dat
 
 
 def contract_record(failures: DataFrame, profiled: DataFrame, dataset: str) -> DataFrame:
-    """One quality record from a contract's failures: PASS, or FAIL with the first three and the number of the rest."""
+    """One quality record from a contract's failures: PASS, or FAIL with the number of failing cases, the first three rules and the number of the rest."""
     name = f"contract:{dataset}"
     shown = F.concat(F.col("column"), F.lit(": "), F.col("rule"), F.lit(" (e.g. "), F.coalesce("example", F.lit("null")), F.lit(")"))
     # A contract has a fixed, small number of rules, so its list of failures is bounded by the contract.
-    listed = failures.agg(F.sort_array(F.collect_list(F.struct("position", shown.alias("text")))).alias("f"), F.count(F.lit(1)).alias("k"))
-    notes = F.concat(F.lit("schema failed with "), F.col("k").cast("string"), F.lit(" failed rule(s): "),
+    listed = failures.agg(F.sort_array(F.collect_list(F.struct("position", shown.alias("text")))).alias("f"), F.count(F.lit(1)).alias("k"),
+                          F.coalesce(F.sum("n"), F.lit(0)).alias("cases"))
+    notes = F.concat(F.lit("schema failed with "), F.col("cases").cast("string"), F.lit(" failing case(s) of "), F.col("k").cast("string"), F.lit(" rule(s): "),
                      F.array_join(F.transform(F.slice("f", 1, 3), lambda s: s["text"]), "; "),
                      F.when(F.col("k") > 3, F.concat(F.lit(" and "), (F.col("k") - 3).cast("string"), F.lit(" more"))).otherwise(""))
     judged = listed.select(F.lit(name).alias("_name"), F.when(F.col("k") > 0, "FAIL").otherwise("PASS").alias("status"),

@@ -70,7 +70,7 @@ def contract_report(spark, sf):
       FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')),
     f AS (SELECT * FROM r WHERE n > 0)
     SELECT 'contract:orders' AS dataset, 'FAIL' AS status, (SELECT count(*) FROM orders) AS rows, 6 AS columns, 0 AS missing_values, 0 AS duplicate_keys,
-    'schema failed with ' || count(*) || ' failed rule(s): ' || string_agg(t, '; ' ORDER BY p) AS notes FROM f""")
+    'schema failed with ' || sum(n) || ' failing case(s) of ' || count(*) || ' rule(s): ' || string_agg(t, '; ' ORDER BY p) AS notes FROM f""")
 def contract_record(spark, sf):
     orders = table(spark, sf, "orders")
     rules = Contract((Field("o_totalprice", "float", low=5000), Field("o_orderpriority", "text", allowed=("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")),

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .releases import gated_publish, log_run
@@ -89,19 +89,22 @@ def write_features(frame: DataFrame, path: str, properties: list[str], geom: str
 
 
 def flat_layer(points: DataFrame, tile: float, digits: int = 5, chunk: int = 10_000, key: str = "id", x: str = "x", y: str = "y",
-               place: str = "place") -> DataFrame:
-    """Counted and near points as flat coordinate lists [x, y, x, y, ...] per tile, in chunks of bounded length.
+               place: str = "place", slices: int = 256) -> DataFrame:
+    """Counted and near points as flat coordinate lists [x, y, x, y, ...] per tile, in chunks of at most `chunk` points.
 
-    A tile that holds a third of all points becomes many chunks: points go to chunks by a hash of their key, so no list grows
-    with the data, even where many points share one place.
+    Points are numbered within their tile in two levels: inside a slice of it (by a hash of the key), and by the running total of the slices before.
+    So a tile that holds half of all points is numbered by many tasks, and becomes as many chunks as it needs.
     """
     rounded = points.filter(F.col(place) != "far").select(
         place, F.floor(F.col(y) / tile).alias("tile_row"), F.floor(F.col(x) / tile).alias("tile_col"),
         F.round(x, digits).alias("x"), F.round(y, digits).alias("y"), F.xxhash64(key).alias("h"))
+    sliced = rounded.withColumn("slice", F.pmod("h", F.lit(slices)).cast("int"))
     keys = [place, "tile_row", "tile_col"]
-    sizes = rounded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / chunk))
-    spread = rounded.join(sizes, keys).withColumn("part", F.pmod("h", parts))
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n"))
+    totals = totals.select(*keys, "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    number = F.col("earlier") + F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("h", "x", "y")) - 1
+    spread = sliced.join(totals, [*keys, "slice"]).withColumn("part", F.floor(number / chunk))
     pair = F.struct("x", "y")
     return spread.groupBy(*keys, "part").agg(F.flatten(F.transform(F.sort_array(F.collect_list(pair)), lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
 

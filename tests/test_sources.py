@@ -217,6 +217,10 @@ def test_flat_layer_splits_a_hot_tile(spark):
     rows = sinks.flat_layer(points, 1.0, chunk=100).collect()
     assert sum(len(r["coordinates"]) for r in rows) == 2000 and max(len(r["coordinates"]) for r in rows) < 250
     assert sinks.outside_total(points).first()[0] == 100
+    crowd = spark.range(5000).selectExpr("id", "if(id < 2500, 1.0D, id * 1.0D) x", "2.0D y", "'counted' place")
+    rows = sinks.flat_layer(crowd, 1.0, chunk=100, slices=16).collect()
+    assert sum(len(r["coordinates"]) for r in rows) == 10_000 and max(len(r["coordinates"]) for r in rows) == 200
+    assert sorted((r["part"], len(r["coordinates"])) for r in rows if r["tile_col"] == 1) == [(i, 200) for i in range(25)]
 
 
 def test_records_over_line_breaks_at_split_borders(spark, tmp_path):
